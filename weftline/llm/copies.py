@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.shared import written
 from weftline.skew import hot_keys, with_salt
 
 FIELDS = ("directory", "command", "file")
@@ -85,10 +86,10 @@ def collapsed(df: DataFrame, rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
 
 
 def all_keyed(files: DataFrame, commands: DataFrame, raw: DataFrame) -> DataFrame:
-    """The three sources of copies in one table."""
+    """The three sources of copies in one table of short keys, written once so that texts are read and parsed once."""
     parts = [
         keyed(files, "files", "id", canonical(F.col("path"))),
         keyed(commands, "compile_commands", "id", canonical(F.col("file"))),
         keyed(raw, "raw_commands", "record_id", F.when(F.col("record").isNotNull(), record_key(F.col("record")))),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return written(reduce(DataFrame.unionByName, parts), "keyed")
