@@ -14,14 +14,11 @@ from pyspark.sql import functions as F
 from weftline.shared import written
 
 Pattern = Callable[[DataFrame], DataFrame]
-#: Levels below which closure is one plan; deeper trees cut lineage after each round of so many levels.
-LEVELS_PER_ROUND = 4
 
 
-def kind(name: str, where: Column | None = None) -> Pattern:
-    """Nodes of a kind, with a predicate on their attributes."""
-    test = F.col("kind") == name if where is None else (F.col("kind") == name) & where
-    return lambda nodes: nodes.where(test).select("id")
+def kind(name: str, where: str = "true") -> Pattern:
+    """Nodes of a kind, with a predicate on their attributes in SQL."""
+    return lambda nodes: nodes.where(F.col("kind") == name).where(where).select("id")
 
 
 def all_of(*patterns: Pattern) -> Pattern:
@@ -55,17 +52,17 @@ def has_parent(inner: Pattern) -> Pattern:
 
 
 def _spread(nodes: DataFrame, start: DataFrame, up: bool, most: int) -> DataFrame:
-    """Ids reached from start (id) in one step or more, towards the root or the leaves; stops when a round finds nothing new."""
-    edge = nodes.where("parent IS NOT NULL").select(*([F.col("id").alias("a"), F.col("parent").alias("b")] if up else [F.col("parent").alias("a"), F.col("id").alias("b")]))
-    seen, front, depth = None, start.select("id"), 0
-    while depth < most:
-        for _ in range(LEVELS_PER_ROUND):
-            front = edge.join(front.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-            if seen is not None:
-                front = front.join(seen, "id", "left_anti")
-            seen = front if seen is None else seen.unionByName(front)
-            depth += 1
-        seen, front = written(seen, "seen"), written(front, "front")
+    """Ids reached from start (id) in one step or more, towards the root or the leaves; stops when a level finds nothing new.
+
+    Edges are written once and each level's new ids too, so a level is one small join whatever came before.
+    """
+    ends = ("id", "parent") if up else ("parent", "id")
+    edge = written(nodes.where("parent IS NOT NULL").select(F.col(ends[0]).alias("a"), F.col(ends[1]).alias("b")), "edges")
+    seen, front = None, start.select("id")
+    for _ in range(most):
+        reached = edge.join(front.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        front = written(reached if seen is None else reached.join(seen, "id", "left_anti"), "front")
+        seen = front if seen is None else seen.unionByName(front)
         if front.isEmpty():
             return seen
     raise ValueError(f"the tree is deeper than {most}, or has a cycle")
@@ -94,6 +91,7 @@ def walk(nodes: DataFrame, start: Pattern, step: Callable[[Column, DataFrame], d
     without a parent, or where ``until`` (on p_*) holds.
     """
     up = nodes.select(F.col("id").alias("p_id"), F.col("parent").alias("p_parent"), F.col("kind").alias("p_kind"), F.col("name").alias("p_name"))
+    up = written(up, "parents")
     now = nodes.join(start(nodes), "id", "left_semi").select("id", F.col("parent").alias("at"), *[c.alias(k) for k, c in state.items()], F.lit(False).alias("ended"))
     done = None
     for depth in range(1, most):

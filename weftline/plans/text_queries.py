@@ -201,8 +201,8 @@ def split_tokens(s: S, d: str) -> DataFrame:
 
 # Tree patterns.
 
-_URGENT = tree.kind("order", F.col("name") == "1-URGENT")
-_RETURNED = tree.kind("line", F.col("name") == "R")
+_URGENT = tree.kind("order", "name = '1-URGENT'")
+_RETURNED = tree.kind("line", "name = 'R'")
 _CUSTOMERS = tree.kind("customer")
 
 
@@ -234,7 +234,7 @@ def tree_has_descendant(s: S, d: str) -> DataFrame:
     "down AS (SELECT id FROM node WHERE parent IN (SELECT id FROM node WHERE kind = 'region' AND name = 'ASIA') UNION SELECT n.id FROM down JOIN node n ON n.parent = down.id)",
 )
 def tree_has_ancestor(s: S, d: str) -> DataFrame:
-    return tree.has_ancestor(tree.kind("region", F.col("name") == "ASIA"))(a.tree(s, d))
+    return tree.has_ancestor(tree.kind("region", "name = 'ASIA'"))(a.tree(s, d))
 
 
 @book("SELECT id FROM node WHERE kind = 'customer' AND id NOT IN (SELECT parent FROM node WHERE kind = 'order' AND name = '1-URGENT')")
@@ -256,7 +256,7 @@ _CHAIN = """walk AS (SELECT id, id AS at, parent AS next, 0 AS steps, id AS path
   UNION ALL SELECT w.id, n.id, n.parent, w.steps + 1, w.path || '>' || n.id FROM walk w JOIN node n ON n.id = w.next)"""
 
 
-@book("SELECT id, at AS root, steps, path FROM walk WHERE next IS NULL", _CHAIN)
+@book("SELECT walk.id, walk.at AS root, steps, path FROM walk WHERE next IS NULL", _CHAIN)
 def chain_walk(s: S, d: str) -> DataFrame:
     return tree.chain_walk(a.tree(s, d), tree.kind("order"))
 
