@@ -224,6 +224,22 @@ def test_versions(spark):
     assert {tuple(r) for r in fx.version_filter(need, have, null_supports=False).collect()} == {("t", True), ("u", False), ("v", False)}
 
 
+def test_watch_runs(spark, tmp_path):
+    from weftline.streaming.incremental import RunLog
+    from weftline.streaming.watch import watch_runs
+
+    at = {n: str(tmp_path / n) for n in ("units", "relations", "runs", "stream")}
+    units = "id long, timestamp long, cmd_args string, run_id int, seen_at timestamp_ntz"
+    rel = "file_id long, dep_id long, dependency_timestamp long, run_id int, seen_at timestamp_ntz"
+    log = RunLog(spark, scratch_path(spark, "watched"))
+    for run, rows in ((1, [(1, 5, "a"), (2, 5, "a")]), (2, [(1, 6, "a"), (2, 5, "a")])):
+        spark.createDataFrame([(*r, run, None) for r in rows], units).write.mode("append").parquet(at["units"])
+        spark.createDataFrame([], rel).write.mode("append").parquet(at["relations"])
+        spark.createDataFrame([(run, "succeeded")], "run_id int, status string").write.mode("append").parquet(at["runs"])
+        assert watch_runs(log, at["units"], at["relations"], at["runs"], at["stream"]).awaitTermination(60)
+    assert [tuple(r) for r in log.changes().collect()] == [(2, 1)] and log.manifest()["version"] == 2
+
+
 def test_core_stands_without_the_text_operators():
     root = Path(__file__).resolve().parent.parent
     assert not [p for p in (root / "weftline").rglob("*.py") if "llm" not in p.parts and "weftline.llm" in p.read_text()]

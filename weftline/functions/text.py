@@ -110,6 +110,12 @@ def edit_overlap(edits: DataFrame) -> DataFrame:
     return edits.withColumn("reach", F.max("end").over(w)).where(F.col("start") < F.col("reach")).select("id")
 
 
+def interval_places(edits: DataFrame) -> DataFrame:
+    """Each edit (id, file_id, start, end, text) with its place within its file: by start, end, text ascending."""
+    w = W.partitionBy("file_id").orderBy("start", "end", "text", "id")
+    return edits.select("id", "file_id", F.row_number().over(w).alias("place"))
+
+
 def interval_order(edits: Column) -> Column:
     """An array of edits (start, end, text) in order."""
     return F.array_sort(edits)

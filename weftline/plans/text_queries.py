@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import paths, text
-from weftline.operators import tree
+from weftline.operators import rules, tree
 from weftline.plans.registry import Book
+from weftline.shared import written
 from weftline.sources import adapters as a
 from weftline.sources.tables import table
 from weftline.streaming import fixpoint as fx
@@ -117,11 +118,9 @@ def edit_overlap(s: S, d: str) -> DataFrame:
     return text.edit_overlap(_intervals(s, d))
 
 
-@book("SELECT file_id, string_agg(start || '-' || stop, ',' ORDER BY start, stop, text) AS intervals FROM iv GROUP BY 1", _INTERVALS)
+@book("SELECT id, file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY start, stop, text, id) AS INT) AS place FROM iv", _INTERVALS)
 def interval_order(s: S, d: str) -> DataFrame:
-    each = F.collect_list(F.struct("start", "end", "text"))
-    g = _intervals(s, d).groupBy("file_id").agg(text.interval_order(each).alias("x"))
-    return g.select("file_id", F.array_join(F.transform("x", lambda e: F.concat_ws("-", e["start"], e["end"])), ",").alias("intervals"))
+    return text.interval_places(_intervals(s, d))
 
 
 @book("SELECT id, file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY start_line, start_line + lines_replaced, replacement_text DESC, id) AS INT) AS place FROM replacements")
@@ -252,6 +251,38 @@ def tree_bind_pair(s: S, d: str) -> DataFrame:
     return tree.bind_pair(a.tree(s, d), _CUSTOMERS, _URGENT)
 
 
+def _placed(s: S, d: str) -> DataFrame:
+    """Customers and orders as nodes of the customer's file, written once for all rules."""
+    n = a.tree(s, d).where("kind IN ('customer', 'order')")
+    placed = n.select("id", "parent", "kind", "name", F.when(F.col("kind") == "order", F.col("parent")).otherwise(F.col("id")).alias("file"), F.lit(0).alias("start"), F.length("name").alias("end"))
+    return written(placed, "nodes")
+
+
+def _rules() -> dict[str, list[rules.Rule]]:
+    return {
+        "multiple-transforms": [rules.Rule("urgent", _URGENT, lambda: F.upper("name")), rules.Rule("bare", tree.unless(tree.has_child(_URGENT), _CUSTOMERS))],
+        "replace-lambda": [rules.Rule("machinery", tree.kind("order", "name = '5-LOW'"), lambda: F.concat(F.lit("<"), "name", F.lit(">")))],
+    }
+
+
+@book("""SELECT DISTINCT transform, path FROM (
+SELECT 'multiple-transforms' AS transform, parent AS path FROM node WHERE kind = 'order' AND name = '1-URGENT'
+UNION ALL SELECT 'multiple-transforms', id FROM node WHERE kind = 'customer' AND id NOT IN (SELECT parent FROM node WHERE kind = 'order' AND name = '1-URGENT')
+UNION ALL SELECT 'replace-lambda', parent FROM node WHERE kind = 'order' AND name = '5-LOW')""")
+def find_features(s: S, d: str) -> DataFrame:
+    return rules.find_features(_rules(), _placed(s, d))
+
+
+@book("""SELECT DISTINCT parent AS file, 0 AS start, length(name) AS end, CASE name WHEN '5-LOW' THEN '<5-LOW>' ELSE name END AS text, CASE name WHEN '5-LOW' THEN 'machinery' ELSE 'urgent' END AS rule
+FROM node WHERE kind = 'order' AND name IN ('1-URGENT', '5-LOW')""")
+def rule_edits(s: S, d: str) -> DataFrame:
+    """All edits of a run of the driver: the finder tags files, then each transform rewrites its own."""
+    nodes = _placed(s, d)
+    paths_ = nodes.select(F.lit(rules.FINDER).alias("transform"), F.col("file").alias("path"))
+    edits, _ = fx.run_to_fixpoint(rules.registry_of(_rules(), nodes), paths_)
+    return edits.distinct()
+
+
 _CHAIN = """walk AS (SELECT id, id AS at, parent AS next, 0 AS steps, id AS path FROM node WHERE kind = 'order'
   UNION ALL SELECT w.id, n.id, n.parent, w.steps + 1, w.path || '>' || n.id FROM walk w JOIN node n ON n.id = w.next)"""
 
