@@ -57,7 +57,7 @@ def test_provenance_is_the_sequential_one(spark, cases):
     edits = [(i, *e) for i, (es, _) in enumerate(cases) for e in es]
     lengths = [(i, n) for i, (_, n) in enumerate(cases)]
     got = {}
-    for r in provenance.line_provenance(spark.createDataFrame(edits, EDITS), spark.createDataFrame(lengths, "file_id long, n int")).collect():
+    for r in provenance.line_provenance(spark.createDataFrame(edits, EDITS), spark.createDataFrame(lengths, "file_id long, n int"), width=3).collect():
         assert (r.file_id, r.line) not in got
         got[r.file_id, r.line] = r.original_line
     assert got == {(i, n): o for i, (es, length) in enumerate(cases) for n, o in sequential(length, es).items()}
@@ -77,6 +77,20 @@ def test_worked_provenance(spark, length, edits, want):
     assert [r.original_line for r in got] == want and [r.line for r in got] == list(range(1, len(want) + 1))
 
 
+def test_running(spark):
+    from weftline.operators.ordered import running
+
+    rnd = random.Random(2)
+    rows = [(i, rnd.choice([1, 1, 1, 2, None]), rnd.choice([*range(20), None]), rnd.randrange(9)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, k int, at int, v int")
+    values = {"total": ("sum", F.col("v")), "top": ("max", F.col("v"))}
+    for inclusive in (True, False):
+        for r in running(df, "k", "at", [F.asc_nulls_last("at"), F.col("id")], values, inclusive, 3).collect():
+            place = lambda x: (x[2] is None, x[2] or 0, x[0])
+            mine = [x[3] for x in rows if x[1] == r.k and (place(x) < place(r) or (inclusive and x[0] == r.id))]
+            assert (r.total, r.top) == (sum(mine), max(mine, default=None))
+
+
 def test_compose(spark):
     older = spark.createDataFrame([(1, 2, 1)], "file_id long, line int, original_line int")
     newer = spark.createDataFrame([(1, 5, 2), (1, 6, 3)], "file_id long, line int, original_line int")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.operators.ordered import running
+
 
 def trim_ws(text: Column) -> Column:
     """Without ASCII white space at either end."""
@@ -93,8 +94,8 @@ def insert_before_first_match(text: Column, pattern: str, new: str) -> Column:
 
 def edit_order(edits: DataFrame) -> DataFrame:
     """Each edit with its place within its file: by start, end, and text descending."""
-    w = W.partitionBy("file_id").orderBy("start_line", F.col("start_line") + F.col("lines_replaced"), F.desc("replacement_text"), "id")
-    return edits.select("id", "file_id", F.row_number().over(w).alias("place"))
+    order = [F.col("start_line"), F.col("start_line") + F.col("lines_replaced"), F.desc("replacement_text"), F.col("id")]
+    return running(edits, "file_id", "start_line", order, {"place": ("sum", F.lit(1))}).select("id", "file_id", F.col("place").cast("int").alias("place"))
 
 
 def edit_bounds(edits: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -106,14 +107,14 @@ def edit_bounds(edits: DataFrame, lengths: DataFrame) -> DataFrame:
 
 def edit_overlap(edits: DataFrame) -> DataFrame:
     """Ids of edits (id, file_id, start, end, text) that begin before an earlier one of their file ends."""
-    w = W.partitionBy("file_id").orderBy("start", "end", "text", "id").rowsBetween(W.unboundedPreceding, -1)
-    return edits.withColumn("reach", F.max("end").over(w)).where(F.col("start") < F.col("reach")).select("id")
+    order = [F.col(c) for c in ("start", "end", "text", "id")]
+    return running(edits, "file_id", "start", order, {"reach": ("max", F.col("end"))}, inclusive=False).where(F.col("start") < F.col("reach")).select("id")
 
 
 def interval_places(edits: DataFrame) -> DataFrame:
     """Each edit (id, file_id, start, end, text) with its place within its file: by start, end, text ascending."""
-    w = W.partitionBy("file_id").orderBy("start", "end", "text", "id")
-    return edits.select("id", "file_id", F.row_number().over(w).alias("place"))
+    order = [F.col(c) for c in ("start", "end", "text", "id")]
+    return running(edits, "file_id", "start", order, {"place": ("sum", F.lit(1))}).select("id", "file_id", F.col("place").cast("int").alias("place"))
 
 
 def interval_order(edits: Column) -> Column:

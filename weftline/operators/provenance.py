@@ -6,20 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.operators.ordered import WIDTH
+
 
 def edit_metrics(edits: DataFrame) -> DataFrame:
     """(file_id, start_line, replaced, inserted, delta, end_line) of each edit."""
     return edits.select("file_id", "start_line", "replaced", "inserted", (F.col("inserted") - F.col("replaced")).alias("delta"), (F.col("start_line") + F.col("replaced")).alias("end_line"))
 
 
-def line_shift(edits: DataFrame) -> DataFrame:
+def _shifted(edits: DataFrame, width: int) -> DataFrame:
+    """edits with ``after``, and ``next_start``: where the file's next edit starts.
+
+    A file is cut into buckets of lines. Each bucket's sum and first start are found with partial sums and carried along the file's
+    buckets, so the edits of one very large file are ordered by many tasks.
+    """
+    delta = F.col("inserted") - F.col("replaced")
+    d = edits.where(F.col("file_id").isNotNull() & F.col("start_line").isNotNull()).withColumn("bucket", F.floor(F.col("start_line") / width))
+    along = W.partitionBy("file_id").orderBy("bucket")
+    per = d.groupBy("file_id", "bucket").agg(F.sum(delta).alias("part"), F.min("start_line").alias("first"))
+    carried = F.coalesce(F.sum("part").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    carry = per.select("file_id", "bucket", carried.alias("carried"), F.lead("first").over(along).alias("later"))
+    own = W.partitionBy("file_id", "bucket").orderBy("start_line", F.col("start_line") + F.col("replaced"), F.desc("text"))
+    after = F.col("carried") + F.sum(delta).over(own.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return d.join(carry, ["file_id", "bucket"]).select(*edits.columns, after.alias("after"), F.coalesce(F.lead("start_line").over(own), F.col("later")).alias("next_start"))
+
+
+def line_shift(edits: DataFrame, width: int = WIDTH) -> DataFrame:
     """Each edit with ``before`` and ``after``: how far the lines in front of and behind it have moved.
 
-    Edits of a file are taken by start, end and then text descending; the shift is a running sum within the file.
+    Edits of a file are taken by start, end and then text descending; the shift is a running sum within the file. Edits without
+    file or start line are left out.
     """
-    order = W.partitionBy("file_id").orderBy("start_line", F.col("start_line") + F.col("replaced"), F.desc("text")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    after = F.sum(F.col("inserted") - F.col("replaced")).over(order)
-    return edits.select("*", after.alias("after")).withColumn("before", F.col("after") - (F.col("inserted") - F.col("replaced")))
+    return _shifted(edits, width).drop("next_start").withColumn("before", F.col("after") - (F.col("inserted") - F.col("replaced")))
 
 
 def register_lines(files: DataFrame, known: DataFrame) -> DataFrame:
@@ -28,7 +46,7 @@ def register_lines(files: DataFrame, known: DataFrame) -> DataFrame:
     return ask.join(known.select("file_id", "line"), ["file_id", "line"], "left_anti").withColumn("original_line", F.col("line"))
 
 
-def line_provenance(edits: DataFrame, lengths: DataFrame) -> DataFrame:
+def line_provenance(edits: DataFrame, lengths: DataFrame, width: int = WIDTH) -> DataFrame:
     """(file_id, line, original_line) after one pass of non-overlapping edits over identity lines 1..n of each (file_id, n).
 
     Lines that an edit inserts come from its start line; the others come from as many lines before or behind as the edits in front of
@@ -36,16 +54,15 @@ def line_provenance(edits: DataFrame, lengths: DataFrame) -> DataFrame:
     from its own place up to the next edit's, so one range of lines per edit is generated inside the file and no
     range join is needed: the work is proportional to edits and lines.
     """
-    e = line_shift(edits).join(lengths, "file_id")
-    w = W.partitionBy("file_id").orderBy("start_line", F.col("start_line") + F.col("replaced"), F.desc("text"))
-    at = F.col("start_line") + F.col("before")
-    e = e.select("file_id", "n", "start_line", "inserted", "after", at.alias("at"), F.lead(at).over(w).alias("next_at"), F.row_number().over(w).alias("k"), F.sum(F.col("inserted") - F.col("replaced")).over(W.partitionBy("file_id")).alias("total"))
+    delta = F.col("inserted") - F.col("replaced")
+    per_file = edits.groupBy("file_id").agg(F.min("start_line").alias("first"), F.sum(delta).alias("total")).join(lengths, "file_id")
+    e = _shifted(edits, width).join(per_file.select("file_id", "n", "total"), "file_id").withColumn("at", F.col("start_line") + F.col("after") - delta)
     end = F.col("n") + F.col("total")
-    until = F.coalesce(F.col("next_at"), F.greatest(end, F.col("at") + F.col("inserted") - 1) + 1)
+    until = F.coalesce(F.col("next_start") + F.col("after"), F.greatest(end, F.col("at") + F.col("inserted") - 1) + 1)
     own = e.where(until > F.col("at")).select("file_id", "start_line", "inserted", "after", "at", F.explode(F.sequence(F.col("at"), until - 1)).alias("line"))
     placed = own.select("file_id", "line", F.when(F.col("line") < F.col("at") + F.col("inserted"), F.col("start_line")).otherwise(F.col("line") - F.col("after")).alias("original_line"))
-    first = e.where((F.col("k") == 1) & (F.col("at") > 1)).select("file_id", F.explode(F.sequence(F.lit(1), F.col("at") - 1)).alias("line"))
-    tail = e.where((F.col("k") == 1) & (F.col("total") < 0)).select("file_id", F.explode(F.sequence(end + 1, F.col("n"))).alias("line"))
+    first = per_file.where(F.col("first") > 1).select("file_id", F.explode(F.sequence(F.lit(1), F.col("first") - 1)).alias("line"))
+    tail = per_file.where((F.col("total") < 0) & (F.col("n") > 0)).select("file_id", F.explode(F.sequence(F.greatest(end + 1, F.lit(1)), F.col("n"))).alias("line"))
     plain = lengths.where(F.col("n") > 0).join(edits.select("file_id").distinct(), "file_id", "left_anti").select("file_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("line"))
     same = first.unionByName(tail).unionByName(plain).withColumn("original_line", F.col("line"))
     return placed.unionByName(same.select(placed.columns))
