@@ -202,3 +202,18 @@ def test_profile(spark):
     levels = spark.createDataFrame([(1, 2, 0.0, 9.0, 0.5), (2, 2, 0.0, 11.0, 0.1)], "doc long, level int, score double, length double, unfamiliar double")
     docs = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, source string")
     assert tuple(R.level_profile(levels, docs).first())[:4] == ("a", 2, 2, 10.0)
+
+
+def test_leaks_with_a_word_altered_every_few_words(spark):
+    # Equal runs as in a true case of the tables: few whole shingles of five words are left, the score is 0.67 a word.
+    item = [f"w{k}" for k in range(76)]
+    held, at = [], 18
+    for n, run in enumerate((6, 2, 6, 5, 4, 4, 4, 5, 4)):
+        held += [*item[at : at + run], *(["zzz"] if n not in (3, 8) else [])]
+        at += run + 1
+    # A word added behind every second word, which is the least score there is.
+    added = [x for k in range(0, 40, 2) for x in (item[k], item[k + 1], "yyy")]
+    fill = [f"f{k}" for k in range(300)]
+    docs = [(1, " ".join(fill + held + fill)), (2, " ".join(fill + added + fill)), (3, " ".join(fill + item[:29] + fill))]
+    found = L.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert {(r.doc, r.item) for r in found} == {(1, 7), (2, 7)}

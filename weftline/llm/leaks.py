@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -15,11 +16,12 @@ from pyspark.sql import functions as F
 
 from weftline.shared import written
 
-SHINGLE = 5
+#: Two words: of longer shingles a stretch of the least score may have none, as every second word may have one added behind it.
+SHINGLE = 2
+#: Items of fewer words are not searched.
+LEAST_WORDS = 5
 #: A document holds an item if it has this share of its words in one running stretch.
 SHARE = 0.4
-#: Of the shingles of such a stretch at least this share is unaltered; the join rests on it.
-KEPT = 0.3
 #: An aligned stretch scores 1 for an equal word and -1 for one altered, missing or added; at least this much a word.
 DENSITY = 0.5
 #: Item words that one pass over the corpus holds; more items take more passes.
@@ -59,9 +61,31 @@ def shingles(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, h.view(np.int64)
 
 
-def needed(n_words: int) -> int:
-    """Distinct shingles that a document which holds an item of so many words shares with it."""
-    return max(1, int(KEPT * (np.ceil(SHARE * n_words) - SHINGLE + 1)))
+def least_held(n_words: int) -> int:
+    """Words of an item of so many words that a stretch must cover."""
+    return math.ceil(SHARE * n_words - 1e-9)
+
+
+def needed(n_words: int, n_shingles: int) -> int:
+    """Distinct shingles that a document which holds an item of so many words and distinct shingles shares with it.
+
+    Each error ends a run of equal words at most, so a stretch has at least as many pairs of equal neighbours as its score less one, and
+    its score is at least DENSITY a word. A pair that the item repeats may count once only.
+    """
+    repeated = n_words - SHINGLE + 1 - n_shingles
+    return max(1, math.ceil(DENSITY * least_held(n_words)) - 1 - repeated)
+
+
+def dense(at: np.ndarray, least: int) -> bool:
+    """Whether shingles at these places, in order, have ``least`` or more in a row that stand as close together as those of a stretch.
+
+    A stretch with k pairs of equal neighbours has (k + 1) / DENSITY equal words at most, of which 1 - DENSITY can each bring an error.
+    """
+    if len(at) < least:
+        return False
+    each = (2 - DENSITY) / DENSITY
+    x = each * np.arange(len(at)) - at
+    return bool((x[least - 1 :] - np.minimum.accumulate(x)[: len(x) - least + 1]).max() >= SHINGLE - 2 * each - 1e-6)
 
 
 def aligned(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -84,14 +108,19 @@ def aligned(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 
 def may_align(item: np.ndarray, text: np.ndarray) -> bool:
-    """Whether some band of diagonals has as many equal words as a stretch of the least length and score must have.
+    """Whether some band of diagonals has as many equal words as a stretch must have; False only if there is no stretch.
 
-    Such a stretch has at most SHARE * DENSITY words added or missing per item word, so it stays in a band of that width.
+    A stretch with g words added or missing stays in a band of g + 1 diagonals, and has g equal words more than its score at
+    least, and (1 + DENSITY) / 2 equal words an item word.
     """
     i, p = np.nonzero(item[:, None] == text[None, :])
     total = np.concatenate([[0], np.cumsum(np.bincount(p - i + len(item), minlength=len(item) + len(text)))])
-    width = min(int(SHARE * DENSITY * len(item)) + 1, len(total) - 1)
-    return int((total[width:] - total[:-width]).max()) >= int(SHARE * len(item) * (1 + DENSITY) / 2)
+    held = least_held(len(item))
+    for g in range(int((1 - DENSITY) / 2 * held), int((1 - DENSITY) * len(item)) + 1):
+        width = min(g + 1, len(total) - 1)
+        if int((total[width:] - total[:-width]).max()) >= max((1 + DENSITY) / 2 * held, DENSITY * held + g):
+            return True
+    return False
 
 
 def _hits(corpus: DataFrame, key: str, text: str, vocabulary: dict[bytes, int], known: np.ndarray, least: int, reach: int) -> DataFrame:
@@ -118,7 +147,7 @@ def _hits(corpus: DataFrame, key: str, text: str, vocabulary: dict[bytes, int],
                 if len(at) < least:
                     continue
                 for n, part in enumerate(np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 2 * reach) + 1)):
-                    if len(part) < least:
+                    if not dense(at[part], least):
                         continue
                     a, z = max(0, int(at[part[0]]) - reach), int(at[part[-1]]) + SHINGLE + reach
                     for col, v in zip(rows, (k, n, ids[a:z].tobytes(), (at[part] - a).astype(np.int32).tobytes(), h[part]), strict=True):
@@ -135,24 +164,25 @@ def _verified(candidates: DataFrame, items: dict[int, np.ndarray]) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = shared.value
-        own = {i: np.sort(shingles(w)[1]) for i, w in texts.items()}
+        own = {i: np.unique(shingles(w)[1]) for i, w in texts.items()}
         for b in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
             for doc, raw, raw_at, hashes, among in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
                 ids, at, h = np.frombuffer(raw, np.int32), np.frombuffer(raw_at, np.int32), np.array(hashes, np.int64)
                 for i in among:
                     w, mine = texts[i], own[i]
-                    size, least = len(w), needed(len(w))
+                    size, least = len(w), needed(len(w), len(mine))
                     place = np.minimum(np.searchsorted(mine, h), len(mine) - 1)
                     hit = mine[place] == h
                     p, q = at[hit], h[hit]
                     if len(p) < least:
                         continue
-                    # Windows of the item's size that begin at a hit, joined where they overlap.
-                    for part in np.split(np.arange(len(p)), np.flatnonzero(np.diff(p) > size) + 1):
-                        if len(np.unique(q[part])) < least:
+                    # Hits further apart than any two neighbours in a stretch are in different windows. A stretch begins and ends with a hit,
+                    # as any other beginning or end would score no more than it costs.
+                    for part in np.split(np.arange(len(p)), np.flatnonzero(np.diff(p) > size + SHINGLE) + 1):
+                        if not dense(p[part], least) or len(np.unique(q[part])) < least:
                             continue
-                        window = ids[max(0, int(p[part[0]]) - size) : int(p[part[-1]]) + SHINGLE + size]
+                        window = ids[int(p[part[0]]) : int(p[part[-1]]) + SHINGLE]
                         if not may_align(w, window):
                             continue
                         held, score = aligned(w, window)
@@ -171,11 +201,12 @@ def _block(corpus: DataFrame, key: str, text: str, rows: list[tuple[int, str]])
     items = {}
     for i, t in rows:
         ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(t or "")], np.int32)
-        if len(ids) >= SHINGLE:
+        if len(ids) >= LEAST_WORDS:
             items[i] = ids
     if not items:
         return None
-    own = [(i, int(x), needed(len(w))) for i, w in items.items() for x in np.unique(shingles(w)[1])]
+    distinct = {i: np.unique(shingles(w)[1]) for i, w in items.items()}
+    own = [(i, int(x), needed(len(items[i]), len(h))) for i, h in distinct.items() for x in h]
     known = np.unique(np.array([x for _, x, _ in own], np.int64))
     least, reach = min(t for _, _, t in own), max(map(len, items.values()))
     found = written(_hits(corpus, key, text, vocabulary, known, least, reach), "hits")
@@ -197,7 +228,7 @@ def leaks(corpus: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     documents. The pass keeps regions around shingles that some item has. Their document frequencies order each item's
     shingles by rarity, and its necessary prefix is joined with the regions' shingles. A candidate must then
     share enough shingles within windows of the item's size, and is verified by aligning item and window word by word. Null texts hold
-    nothing; items of fewer words than a shingle are not searched; a null key is kept as null. Repeated documents or items
+    nothing; items of fewer than LEAST_WORDS words are not searched; a null key is kept as null. Repeated documents or items
     give one row each pair.
     """
     spark = corpus.sparkSession
