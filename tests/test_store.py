@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from weftline.functions import paths, text
 from weftline.operators import diff, merge, provenance, tree
 from weftline.shared import scratch_path
-from weftline.sources import compile_db, store
+from weftline.sources import adapters, compile_db, store
 from weftline.streaming import fixpoint as fx
 
 EDITS = "file_id long, start_line int, replaced int, inserted int, text string"
@@ -231,6 +231,16 @@ def test_commands_and_sinks(spark, tmp_path):
         compile_db.write_text(lines, "same", "same/")
 
 
+def test_quoted_arguments_stay_whole(spark, tmp_path):
+    commands = ['cc -c "C:/Program Code/a b.c"', "cc 'x;y|z' -I\"/srv/build/in c\" q\\ r", " ;| ", None]
+    rows = [(i, "d", c, "C:/Program Code/a b.c") for i, c in enumerate(commands)]
+    spark.createDataFrame(rows, "id long, directory string, command string, file string").write.parquet(str(tmp_path / "compile_commands.parquet"))
+    args = adapters.arguments(spark, str(tmp_path))
+    assert {r.id: r.args for r in args.collect()} == {0: ["cc", "-c", "C:/Program Code/a b.c"], 1: ["cc", "x;y|z", "-I/srv/build/in c", "q r"], 2: [], 3: None}
+    files = spark.createDataFrame([(1, "C:/Program Code/a b.c"), (2, "q"), (3, "cc")], "id long, path string")
+    assert {tuple(r) for r in compile_db.commands_for_file(files, args).collect()} == {("C:/Program Code/a b.c", 0), ("cc", 0), ("cc", 1)}
+
+
 def test_versions(spark):
     need = spark.createDataFrame([("t", "gcc", "4.7"), ("u", "gcc", "4.10"), ("v", "icc", "1")], "transform string, compiler string, version string")
     have = spark.createDataFrame([("gcc", "4.8"), ("gcc", "5"), ("icc", "?")], "compiler string, version string")

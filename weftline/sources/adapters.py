@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions.packed import split_packed
 from weftline.sources.tables import table
 
 
@@ -91,9 +92,15 @@ def tree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def arguments(spark: SparkSession, d: str) -> DataFrame:
-    """(id, directory, file, args array<string>): compile commands with the command cut at separators, quotes not regarded."""
-    args = F.filter(F.split("command", r"[\s;|]+"), lambda x: x != "")
-    return table(spark, d, "compile_commands").select("id", "directory", "file", args.alias("args"))
+    """(id, directory, file, args array<string>): compile commands with the command cut at separators outside quotes.
+
+    The view ``cmd`` in SQL doesn't regard quotes, so it differs where a command has quotes or escapes.
+    """
+    commands = table(spark, d, "compile_commands")
+    by_place = F.array_sort(F.collect_list(F.struct("pos", "value")))
+    cut = split_packed(commands, "command", ["id"]).groupBy("id").agg(F.transform(by_place, lambda x: x["value"]).alias("args"))
+    none = F.when(F.col("command").isNotNull(), F.array().cast("array<string>"))
+    return commands.join(cut, "id", "left").select("id", "directory", "file", F.coalesce("args", none).alias("args"))
 
 
 #: The same views as common table expressions.
