@@ -217,3 +217,41 @@ def test_leaks_with_a_word_altered_every_few_words(spark):
     docs = [(1, " ".join(fill + held + fill)), (2, " ".join(fill + added + fill)), (3, " ".join(fill + item[:29] + fill))]
     found = L.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
     assert {(r.doc, r.item) for r in found} == {(1, 7), (2, 7)}
+
+
+def plain_passing(a, b):
+    """Whether some stretch passes, by all paths from every beginning as (score, best score on the way)."""
+    least = L.least_held(len(a))
+    for i in range(len(a)):
+        for j in range(len(b)):
+            if a[i] != b[j]:
+                continue
+            at = {(i, j): {(1, 1)}}
+            for x in range(i, len(a)):
+                for y in range(j, len(b)):
+                    new = set(at.get((x, y), ()))
+                    for px, py, d in ((x - 1, y - 1, 1 if a[x] == b[y] else -1), (x - 1, y, -1), (x, y - 1, -1)):
+                        new |= {(s + d, max(m, s + d)) for s, m in at.get((px, py), ()) if s + d > 0}
+                    at[x, y] = new
+                    if x - i + 1 >= least and any(s == m and s >= L.DENSITY * (x - i + 1) for s, m in new):
+                        return True
+    return False
+
+
+def test_passing_is_the_plain_one():
+    rnd, seen = random.Random(6), set()
+    for _ in range(150):
+        a, b = (np.array([rnd.randrange(1, 7) for _ in range(rnd.randrange(6, 16))], np.int32) for _ in "ab")
+        held, score = L.passing(a, b)
+        assert (held > 0) == plain_passing(a, b) and (held == 0 or (held >= L.least_held(len(a)) and score >= L.DENSITY * held))
+        seen.add(held > 0)
+    assert seen == {True, False}
+
+
+def test_leaks_in_pieces_close_together(spark):
+    item = [f"w{k}" for k in range(108)]
+    foreign, fill = [f"g{k}" for k in range(28)], [f"f{k}" for k in range(200)]
+    bodies = [item[:45] + foreign + item[73:], item[:45] + item[73:], item[:30] + foreign + item[78:], item[:30] + fill[:28] + item[90:]]
+    docs = [(k, " ".join(fill + x + fill)) for k, x in enumerate(bodies)]
+    found = L.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert {(r.doc, r.held) for r in found} == {(0, 45), (1, 45)}

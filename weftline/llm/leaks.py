@@ -107,6 +107,45 @@ def aligned(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best
 
 
+def passing(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
+    """(item words covered, score) of the best-scoring stretch that is long and dense enough; (0, 0) if there is none.
+
+    The best local alignment may bridge a gap and then be too thin, or be too short, where another stretch passes. So every beginning is
+    followed by itself. A stretch is only looked at where no piece at either end costs as much as it scores, so that foreign
+    words around a short echo don't lengthen it. It can begin with the first word of a run of two or more.
+    """
+    size, least = len(item), least_held(len(item))
+    equal = item[:, None] == text[None, :]
+    heads = equal.copy()
+    heads[1:, 1:] &= ~equal[:-1, :-1]
+    heads[:-1, :-1] &= equal[1:, 1:]
+    heads[-1], heads[:, -1], heads[size - least + 1 :] = False, False, False
+    # The score in the upper 32 bits; below, counted down, the best score on the way to it.
+    one, low = 1 << 32, (1 << 32) - 1
+    steps = np.arange(len(text), dtype=np.int64) * one
+    begun, rows = np.empty(0, np.int64), np.empty((0, len(text)), np.int64)
+    best = (0, 0)
+    for i in range(size):
+        if len(begun):
+            came = np.zeros_like(rows)
+            came[:, 1:] = rows[:, :-1]
+            now = np.where(came >= one, came + np.where(equal[i], one, -one), 0)
+            now = np.maximum(now, rows - one)
+            now = np.maximum.accumulate(now + steps, axis=1) - steps
+            now[now < one] = 0
+            now -= (now >> 32) > low - (now & low)
+            alive = now.any(axis=1)
+            begun, rows = begun[alive], now[alive]
+            held = i - begun + 1
+            score = np.where(rows >> 32 == low - (rows & low), rows >> 32, 0).max(axis=1, initial=0)
+            for k in np.flatnonzero((held >= least) & (score >= DENSITY * held)):
+                best = max(best, (int(score[k]), int(held[k])))
+        if heads[i].any():
+            begun = np.append(begun, i)
+            rows = np.vstack([rows, np.where(heads[i], one + low - 1, 0)])
+    return best[1], best[0]
+
+
 def may_align(item: np.ndarray, text: np.ndarray) -> bool:
     """Whether some band of diagonals has as many equal words as a stretch must have; False only if there is no stretch.
 
@@ -186,7 +225,9 @@ def _verified(candidates: DataFrame, items: dict[int, np.ndarray]) -> DataFrame:
                         if not may_align(w, window):
                             continue
                         held, score = aligned(w, window)
-                        if held >= SHARE * size and score >= DENSITY * held:
+                        if score >= DENSITY * least_held(size) and (held < least_held(size) or score < DENSITY * held):
+                            held, score = passing(w, window)
+                        if held >= least_held(size) and score >= DENSITY * held:
                             for col, v in zip(rows, (doc, i, held, size, score), strict=True):
                                 col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["a", "b", "c", "d", "e"])
