@@ -255,3 +255,12 @@ def test_leaks_in_pieces_close_together(spark):
     docs = [(k, " ".join(fill + x + fill)) for k, x in enumerate(bodies)]
     found = L.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
     assert {(r.doc, r.held) for r in found} == {(0, 45), (1, 45)}
+
+
+def test_leaks_late_in_a_long_item(spark):
+    item = [f"w{k}" for k in range(9000)]
+    ids = np.arange(1, 9001, dtype=np.int32)
+    assert L.aligned(ids, ids[5300:]) == (3700, 3700)
+    docs = spark.createDataFrame([(1, " ".join(["f", *item[5300:], "f"])), (2, " ".join(item[5500:]))], "doc_id long, text string")
+    found = L.leaks(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc, r.held) for r in found] == [(1, 3700)]

@@ -90,7 +90,7 @@ def dense(at: np.ndarray, least: int) -> bool:
 
 def aligned(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """(item words covered, score) of the best local alignment of two word sequences."""
-    one, low = 1 << 12, (1 << 12) - 1
+    one, low = 1 << 32, (1 << 32) - 1  # the score in the upper 32 bits, the beginning in the lower
     steps = np.arange(len(text), dtype=np.int64) * one
     row = np.zeros(len(text) + 1, np.int64)
     best = (0, 0)
@@ -101,8 +101,8 @@ def aligned(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
         now = np.maximum.accumulate(now + steps) - steps
         now[now < one] = 0
         top = int(now.max(initial=0))
-        if top >= one and (top >> 12) > best[1]:
-            best = (i - (low - (top & low)) + 1, top >> 12)
+        if top >= one and (top >> 32) > best[1]:
+            best = (i - (low - (top & low)) + 1, top >> 32)
         row[1:] = now
     return best
 
