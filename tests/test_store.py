@@ -231,6 +231,17 @@ def test_commands_and_sinks(spark, tmp_path):
         compile_db.write_text(lines, "same", "same/")
 
 
+def test_replacement_goes_on_until_nothing_matches(spark):
+    texts = ["a" + " " * n + "b" for n in (1, 2, 256, 257, 70_000)] + ["", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(text.regex_replace_until_stable(F.col("t"), r"[ \t]{2}", " ")).collect()] == ["a b"] * 5 + ["", None]
+    deep = spark.createDataFrame([("x" + "(" * 40 + ")" * 40,)], "t string")
+    assert deep.select(text.regex_replace_until_stable(F.col("t"), r"\(\)", "")).first()[0] == "x"
+    for new in ("a", "aa"):
+        with pytest.raises(Exception, match="come to an end"):
+            deep.select(text.regex_replace_until_stable(F.lit("a"), "a", new)).collect()
+
+
 def test_quoted_arguments_stay_whole(spark, tmp_path):
     commands = ['cc -c "C:/Program Code/a b.c"', "cc 'x;y|z' -I\"/srv/build/in c\" q\\ r", " ;| ", None]
     rows = [(i, "d", c, "C:/Program Code/a b.c") for i, c in enumerate(commands)]

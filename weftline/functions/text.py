@@ -19,13 +19,25 @@ def literal_replace(text: Column, old: str, new: str) -> Column:
 
 
 def regex_replace_until_stable(text: Column, pattern: str, new: str, rounds: int = 8) -> Column:
-    """Replaces matches again and again; after ``rounds`` passes over all matches it stops, so a rule that feeds itself ends too.
+    """Replaces matches again and again until none is left.
 
-    A pass replaces all matches, so a rule that halves runs settles runs of up to two to the power of ``rounds``.
+    A pass replaces all matches. ``rounds`` passes are made on every row, and more only on rows that still match: up to twice as many as
+    the text has characters, and 1,000 at least. A row that matches even then, or has grown sixteenfold, fails, so a rule that feeds itself ends too.
     """
     for _ in range(rounds):
         text = F.regexp_replace(text, pattern, new)
-    return text
+    most = F.greatest(2 * F.length(text), F.lit(1000))
+    zero = F.struct(text.alias("text"), F.lit(True).alias("more"))
+
+    def step(s: Column, n: Column) -> Column:
+        after = F.regexp_replace(s["text"], pattern, new)
+        over = (n == most) | (F.length(after) > 16 * most)
+        more = after.rlike(pattern)
+        failed = F.raise_error(F.lit("replacement doesn't come to an end")).cast("boolean")
+        return F.when(s["more"], F.struct(after.alias("text"), F.when(more & over, failed).otherwise(more).alias("more"))).otherwise(s)
+
+    rest = F.aggregate(F.sequence(F.lit(1), most), zero, step, lambda s: s["text"])
+    return F.when(text.rlike(pattern), rest).otherwise(text)
 
 
 def split_tokens(text: Column, sep: str) -> Column:
