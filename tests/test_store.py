@@ -242,6 +242,19 @@ def test_replacement_goes_on_until_nothing_matches(spark):
             deep.select(text.regex_replace_until_stable(F.lit("a"), "a", new)).collect()
 
 
+def test_stored_edits_shift_lines(spark):
+    from weftline.plans.store_queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    got = QUERIES["line_shift_stored"](spark, d).collect()
+    rows = spark.read.parquet(f"{d}/replacements.parquet").collect()
+    total = {}
+    for r in rows:
+        total[r.file_id] = total.get(r.file_id, 0) + r.lines_in_replacement - r.lines_replaced
+    last = {f: [x for x in got if x.file_id == f] for f in total}
+    assert len(got) == len(rows) and all(t in {x.after for x in last[f]} for f, t in total.items())
+
+
 def test_quoted_arguments_stay_whole(spark, tmp_path):
     commands = ['cc -c "C:/Program Code/a b.c"', "cc 'x;y|z' -I\"/srv/build/in c\" q\\ r", " ;| ", None]
     rows = [(i, "d", c, "C:/Program Code/a b.c") for i, c in enumerate(commands)]

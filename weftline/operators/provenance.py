@@ -26,7 +26,7 @@ def _shifted(edits: DataFrame, width: int) -> DataFrame:
     per = d.groupBy("file_id", "bucket").agg(F.sum(delta).alias("part"), F.min("start_line").alias("first"))
     carried = F.coalesce(F.sum("part").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     carry = per.select("file_id", "bucket", carried.alias("carried"), F.lead("first").over(along).alias("later"))
-    own = W.partitionBy("file_id", "bucket").orderBy("start_line", F.col("start_line") + F.col("replaced"), F.desc("text"))
+    own = W.partitionBy("file_id", "bucket").orderBy("start_line", F.col("start_line") + F.col("replaced"), F.desc("text"), "inserted")
     after = F.col("carried") + F.sum(delta).over(own.rowsBetween(W.unboundedPreceding, W.currentRow))
     return d.join(carry, ["file_id", "bucket"]).select(*edits.columns, after.alias("after"), F.coalesce(F.lead("start_line").over(own), F.col("later")).alias("next_start"))
 
@@ -34,7 +34,7 @@ def _shifted(edits: DataFrame, width: int) -> DataFrame:
 def line_shift(edits: DataFrame, width: int = WIDTH) -> DataFrame:
     """Each edit with ``before`` and ``after``: how far the lines in front of and behind it have moved.
 
-    Edits of a file are taken by start, end and then text descending; the shift is a running sum within the file. Edits without
+    Edits of a file are taken by start, end, text descending and then inserted lines; the shift is a running sum within the file. Edits without
     file or start line are left out.
     """
     return _shifted(edits, width).drop("next_start").withColumn("before", F.col("after") - (F.col("inserted") - F.col("replaced")))

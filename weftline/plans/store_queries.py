@@ -363,6 +363,22 @@ def line_shift(s: S, d: str) -> DataFrame:
     return provenance.line_shift(a.spaced_edits(s, d)).select("file_id", "start_line", "before", "after")
 
 
+# The same over the stored edits, of which a few files hold many.
+
+_STORED = "sedit AS (SELECT file_id, start_line, lines_replaced AS replaced, lines_in_replacement AS inserted, replacement_text AS text FROM replacements)"
+_STORED_SHIFT = _STORED + ", " + _SHIFT.replace("ledit", "sedit").replace("text DESC", "text DESC, inserted")
+
+
+@book("SELECT file_id, start_line, replaced, inserted, inserted - replaced AS delta, start_line + replaced AS end_line FROM sedit", _STORED)
+def edit_metrics_stored(s: S, d: str) -> DataFrame:
+    return provenance.edit_metrics(a.stored_edits(s, d))
+
+
+@book("SELECT file_id, start_line, before, after FROM shift", _STORED_SHIFT)
+def line_shift_stored(s: S, d: str) -> DataFrame:
+    return provenance.line_shift(a.stored_edits(s, d)).select("file_id", "start_line", "before", "after")
+
+
 @book("SELECT o_orderkey AS file_id, i AS line, i AS original_line FROM orders, range(1, 11) t(i) WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = i)")
 def register_lines(s: S, d: str) -> DataFrame:
     files = table(s, d, "orders").select(F.col("o_orderkey").alias("file_id"), F.lit(10).alias("n"))

@@ -63,6 +63,12 @@ def spaced_edits(spark: SparkSession, d: str) -> DataFrame:
     return e.select("file_id", (F.col("l_linenumber") * 4).alias("start_line"), "replaced", "inserted", "text")
 
 
+def stored_edits(spark: SparkSession, d: str) -> DataFrame:
+    """(file_id, start_line, replaced, inserted, text): the replacements, which may overlap."""
+    columns = {"lines_replaced": "replaced", "lines_in_replacement": "inserted", "replacement_text": "text"}
+    return table(spark, d, "replacements").select("file_id", "start_line", *[F.col(c).alias(n) for c, n in columns.items()])
+
+
 def partial_results(spark: SparkSession, d: str) -> DataFrame:
     """(worker, seq, transform, path, n, flag): what eight workers hand back."""
     return table(spark, d, "events").select(
