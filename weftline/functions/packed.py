@@ -3,107 +3,109 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.shared import stored_bytes, written
+from weftline.shared import written
+from weftline.skew import BROADCAST_KEYS
 
-# Characters that stand for something while a field is split; the same characters in a field are escaped first.
-_CUT, _MARK, _ESC, _BACKSLASH = "\u0001", "\u0002", "\u0003", "\u0004"
-#: A stretch without quotes, an escape, or a quote mark. Backslashes that escape nothing are masked before.
-_PIECE = r"""[^"'\\]++|\\["' ]|["']"""
-#: The rules are broadcast up to this size on disk, and joined by shuffle beyond it.
-BROADCAST_BYTES = 8 << 20
+#: A stretch of ordinary characters; a backslash that escapes nothing is one of them.
+_PLAIN = r"""(?:[^\s;|"'\\]|\\(?!["' ]))++"""
+#: Such a stretch, a run of separators, an escape, or a quote mark.
+_PIECE = _PLAIN + r"""|[\s;|]++|\\["' ]|["']"""
+#: Rules of at most so many skeletons, the most frequent ones of at most so many pieces, are broadcast: some 20 MB whatever the data.
+FREQUENT, FREQUENT_PIECES = 4096, 256
+# What an extracted piece gives: all of it, its second character, or its first.
+_WHOLE, _SECOND, _FIRST = range(3)
 
 
-def masked(text: Column) -> Column:
-    """The field with its control characters escaped and its literal backslashes masked."""
-    for ch, code in ((_ESC, "c"), (_CUT, "a"), (_MARK, "b"), (_BACKSLASH, "d")):
-        text = F.replace(text, F.lit(ch), F.lit(_ESC + code))
-    return F.regexp_replace(text, r"""\\(?!["' ])""", _BACKSLASH)
+def skeleton(text: Column) -> Column:
+    """One letter per piece of a field: p ordinary characters, s separators, D and S quote marks, d, q and b escapes of a double quote, a quote and a blank."""
+    shape = F.regexp_replace(text, _PLAIN, "p")
+    for escape, letter in (('\\"', "d"), ("\\'", "q"), ("\\ ", "b")):
+        shape = F.replace(shape, F.lit(escape), F.lit(letter))
+    return F.translate(F.regexp_replace(shape, r"[\s;|]++", "s"), "\"'", "DS")
 
 
-def _unmasked(text: Column) -> Column:
-    text = F.replace(F.replace(text, F.lit(_MARK), F.lit("")), F.lit(_BACKSLASH), F.lit("\\"))
-    for ch, code in ((_CUT, "a"), (_MARK, "b"), (_BACKSLASH, "d"), (_ESC, "c")):
-        text = F.replace(text, F.lit(_ESC + code), F.lit(ch))
-    return text
+def rule(shape: str) -> list[list[int]]:
+    """Where the arguments of a field with this skeleton stand: for each argument its pieces, as 4 * place + what the piece gives.
 
+    A quote that never ends holds the rest of the field. Within single quotes a backslash before the mark is literal and the mark ends the quote.
+    """
+    out: list[list[int]] = []
+    now: list[int] | None = None
+    quote = ""
+    for i, x in enumerate(shape):
+        if not quote and x == "s":
+            if now is not None:
+                out.append(now)
+            now = None
+            continue
+        now = [] if now is None else now
+        if not quote:
+            if x in "DS":
+                quote = x
+            else:
+                now.append(4 * i + (_WHOLE if x == "p" else _SECOND))
+        elif x == quote:
+            quote = ""
+        elif quote == "S" and x == "q":
+            now.append(4 * i + _FIRST)
+            quote = ""
+        else:
+            now.append(4 * i + (_SECOND if quote == "D" and x == "d" else _WHOLE))
+    return out if now is None else [*out, now]
 
-def pieces(masked_text: Column) -> Column:
-    """The field cut at every quote mark and escape."""
-    return F.regexp_extract_all(masked_text, F.lit(_PIECE), F.lit(0))
 
+def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"shape": b["shape"], "places": [rule(s) for s in b["shape"]]})
 
-def skeleton(parts: Column) -> Column:
-    """One letter per piece: p for a stretch of ordinary characters, else the kind of quote or escape."""
 
-    def letter(x: Column) -> Column:
-        return (
-            F.when(x == '"', "D").when(x == "'", "S").when(x == '\\"', "d").when(x == "\\'", "s").when(x == "\\ ", "b").otherwise("p")
-        )
+def _resolved(shapes: DataFrame) -> DataFrame:
+    return shapes.select("shape").mapInPandas(_resolve, "shape string, places array<array<int>>")
 
-    return F.array_join(F.transform(parts, letter), "")
 
+def _extracted(parts: Column, places: Column) -> Column:
+    """The arguments that stand at these places."""
 
-def rule(shape: str) -> str:
-    """What to do with each piece of a skeleton, a letter each.
+    def piece(code: Column) -> Column:
+        x, how = F.get(parts, F.shiftright(code, 2)), code.bitwiseAND(3)
+        return F.when(how == _WHOLE, x).otherwise(F.substring(x, F.when(how == _SECOND, 2).otherwise(1), F.lit(1)))
 
-    O cut at separators; L keep; K keep the second character; Q drop, an argument is here; X drop; C keep the first
-    character, the quote ends. A quote that never ends holds the rest of the field.
-    """
-    out, quote = [], ""
-    for x in shape:
-        if not quote:
-            out.append("O" if x == "p" else "Q" if x in "DS" else "K")
-            quote = x if x in "DS" else ""
-        elif quote == "D":
-            out.append("X" if x == "D" else "K" if x == "d" else "L")
-            quote = "" if x == "D" else quote
-        else:
-            out.append("X" if x == "S" else "C" if x == "s" else "L")
-            quote = "" if x in "Ss" else quote
-    return "".join(out)
-
-
-def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield pd.DataFrame({"shape": b["shape"], "actions": [rule(s) for s in b["shape"]]})
+    return F.transform(places, lambda a: F.when(F.size(a) == 1, piece(F.get(a, 0))).otherwise(F.array_join(F.transform(a, piece), "")))
 
 
-def _apply(parts: Column, actions: Column) -> Column:
-    def one(x: Column, i: Column) -> Column:
-        a = F.substring(actions, i + 1, F.lit(1))
-        return (
-            F.when(a == "O", F.regexp_replace(x, r"[\s;|]+", _CUT))
-            .when(a == "K", F.substring(x, 2, 1))
-            .when(a == "Q", F.lit(_MARK))
-            .when(a == "X", F.lit(""))
-            .when(a == "C", F.lit("\\"))
-            .otherwise(x)
-        )
+def unrepeated(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct rows of a table whose rows are mostly unique by ``keys``: only those that share a key are compared as a whole.
 
-    joined = F.array_join(F.transform(parts, one), "")
-    return F.transform(F.filter(F.split(joined, _CUT), lambda x: x != ""), _unmasked)
+    Keys alone are shuffled and counted; rows with a key of their own go on where they are.
+    """
+    again = written(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*[F.col(k).alias(f"_{k}") for k in keys]), "again", {"n": F.count(F.lit(1))})
+    side = F.broadcast(again) if again.observed["n"] <= BROADCAST_KEYS else again.hint("merge")
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return df.join(side, on, "left_anti").unionByName(df.join(side, on, "left_semi").distinct())
 
 
-def split_packed(df: DataFrame, text: str, keys: list[str], broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def split_packed(df: DataFrame, text: str, keys: list[str], frequent: int = FREQUENT) -> DataFrame:
     """(keys, pos from 1, value): each argument of column ``text`` as a row of its own.
 
-    Separators outside quotes are white space, semicolons and vertical bars. The splitting rule depends only on where quotes and
-    escapes stand, so it is resolved once per distinct skeleton in which every stretch of other characters is one
-    letter. The rules are broadcast if their stored size is at most ``broadcast_bytes``, and joined by shuffle, where adaptive
-    execution splits a hot skeleton, if it is more. Null, empty and all-separator fields give no rows. Columns other than
-    ``keys`` don't come along, so their names cannot clash.
+    Separators outside quotes are white space, semicolons and vertical bars. Ordinary characters are masked, which leaves the field's skeleton of
+    separators, quotes and escapes. Each distinct skeleton's rule, the places of the arguments' pieces, is resolved once. The rules of the ``frequent``
+    most frequent skeletons are broadcast, which takes care of hot ones; rows of the others, of which none can be hot, meet theirs by shuffle.
+    Pieces are then taken by position. Null, empty and all-separator fields give no rows. Columns other than ``keys`` don't come along,
+    so their names cannot clash.
     """
-    parts = (
-        df.where(F.col(text).isNotNull())
-        .select(F.struct(*keys).alias("row"), pieces(masked(F.col(text))).alias("parts"))
-        .withColumn("shape", skeleton(F.col("parts")))
-    )
-    rules = written(parts.select("shape").distinct().mapInPandas(_resolve, "shape string, actions string"), "rules")
-    rules = F.broadcast(rules) if stored_bytes(rules) <= broadcast_bytes else rules.hint("merge")
-    cut = parts.join(rules, "shape").select("row", F.posexplode(_apply(F.col("parts"), F.col("actions"))).alias("pos", "value"))
+    shaped = written(df.where(F.col(text).isNotNull()).select(F.struct(*keys).alias("row"), F.col(text).alias("text"), skeleton(F.col(text)).alias("shape")), "shapes")
+    counts = shaped.groupBy("shape").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.where(F.length("shape") <= FREQUENT_PIECES).orderBy(F.desc("n"), "shape").limit(frequent)
+    often = F.broadcast(written(_resolved(top), "rules"))
+    seldom = shaped.join(often, "shape", "left_anti")
+    rare = seldom.join(_resolved(seldom.select("shape").distinct()).hint("merge"), "shape")
+    found = shaped.join(often, "shape").unionByName(rare)
+    parts = F.regexp_extract_all("text", F.lit(_PIECE), F.lit(0))
+    cut = found.select("row", "places", parts.alias("parts")).select("row", F.posexplode(_extracted(F.col("parts"), F.col("places"))).alias("pos", "value"))
     return cut.select(*[F.col("row")[k].alias(k) for k in keys], (F.col("pos") + 1).alias("pos"), "value")

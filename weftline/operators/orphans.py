@@ -8,26 +8,31 @@ from pyspark.sql import functions as F
 
 from weftline.skew import all_salts, hot_keys, with_salt
 
-#: Kinds of rows in the merged stream, in the order in which they stand at one instant.
-END, START, REF = 0, 1, 2
+#: Kinds of rows in the merged stream, in the order in which they stand at one instant. HEAD says that the key has a life at all.
+HEAD, END, START, REF = -1, 0, 1, 2
+#: References of one key that one task merges.
+ROWS_PER_SPLIT = 100_000
+#: Shares that references without a key are spread over; they meet no life.
+NULL_SHARES = 1 << 16
 
 
 def lives(parents: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Life events (ref_id, at, kind): each distinct life gives a START and, unless it is open, an END.
+    """Life events (ref_id, at, kind): each distinct life gives a START and, unless it is open, an END; each key with a life a HEAD without time.
 
     A life is [start, end). Rows without key or start, and lives that end no later than they start, are never
     live and give nothing.
     """
-    d = (
-        parents.select(F.col(key).cast("long").alias("ref_id"), F.col(start).alias("s"), F.col(end).alias("e"))
-        .where(F.col("ref_id").isNotNull() & F.col("s").isNotNull() & (F.col("e").isNull() | (F.col("e") > F.col("s"))))
-        .distinct()
+    d = parents.select(F.col(key).cast("long").alias("ref_id"), F.col(start).alias("s"), F.col(end).alias("e")).where(
+        F.col("ref_id").isNotNull() & F.col("s").isNotNull() & (F.col("e").isNull() | (F.col("e") > F.col("s")))
     )
-    events = F.array(F.struct(F.col("s").alias("at"), F.lit(START).alias("kind")), F.struct(F.col("e").alias("at"), F.lit(END).alias("kind")))
-    return d.select("ref_id", F.explode(events).alias("x")).select("ref_id", "x.at", "x.kind").where(F.col("at").isNotNull())
+    none = F.lit(None).cast(d.schema["s"].dataType)
+    events = F.array(*[F.struct(at.alias("at"), F.lit(kind).alias("kind")) for at, kind in ((none, HEAD), (F.col("s"), START), (F.col("e"), END))])
+    # A life is one row here, so that two lives that begin or end at one instant both count.
+    each = d.distinct().select("ref_id", F.explode(events).alias("x")).select("ref_id", "x.at", "x.kind")
+    return each.where(F.col("at").isNotNull() | (F.col("kind") == HEAD))
 
 
-def orphans(references: DataFrame, parents: DataFrame, key: str = "id", start: str = "added_at", end: str = "removed_at", rows_per_split: int = 500_000) -> DataFrame:
+def orphans(references: DataFrame, parents: DataFrame, key: str = "id", start: str = "added_at", end: str = "removed_at", rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
     """Rows of ``references`` (ref_table, file_id, ref_id, seen_at) whose ref_id no parent row makes live at seen_at, with a ``status``.
 
     References and parents' life events are partitioned by key, sorted by time, and merged in one pass that
@@ -38,23 +43,19 @@ def orphans(references: DataFrame, parents: DataFrame, key: str = "id", start: s
     """
     refs = references.select("ref_table", F.col("file_id").cast("long").alias("file_id"), F.col("ref_id").cast("long").alias("ref_id"), "seen_at")
     hot = hot_keys(refs, "ref_id", rows_per_split)
-    null_ref = refs.where(F.col("ref_id").isNull()).withColumn("status", F.lit("missing"))
-    left = with_salt(refs.where(F.col("ref_id").isNotNull()), hot, "ref_id", "file_id", "seen_at").select(
-        "ref_id", "salt", F.col("seen_at").alias("at"), F.lit(REF).alias("kind"), "ref_table", "file_id"
+    spread = F.when(F.col("ref_id").isNull(), F.pmod(F.xxhash64("ref_table", "file_id", "seen_at"), F.lit(NULL_SHARES)).cast("int")).otherwise(F.col("salt"))
+    left = with_salt(refs, hot, "ref_id", "file_id", "seen_at").select(
+        "ref_id", spread.alias("salt"), F.col("seen_at").alias("at"), F.lit(REF).alias("kind"), "ref_table", "file_id"
     )
     right = all_salts(lives(parents, key, start, end), hot, "ref_id").select("ref_id", "salt", "at", "kind", F.lit(None).cast("string").alias("ref_table"), F.lit(None).cast("long").alias("file_id"))
     merged = left.unionByName(right)
-    by = W.partitionBy("ref_id", "salt")
-    so_far = by.orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
-    started = F.count(F.when(F.col("kind") == START, 1)).over(so_far)
-    ended = F.count(F.when(F.col("kind") == END, 1)).over(so_far)
-    lived = F.max(F.col("kind") == START).over(by)
-    out = (
-        merged.withColumns({"started": started, "ended": ended, "lived": lived})
+    so_far = W.partitionBy("ref_id", "salt").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    counts = {n: F.count(F.when(F.col("kind") == k, 1)).over(so_far) for n, k in (("heads", HEAD), ("started", START), ("ended", END))}
+    return (
+        merged.withColumns(counts)
         .where((F.col("kind") == REF) & (F.col("at").isNull() | (F.col("started") <= F.col("ended"))))
-        .select("ref_table", "file_id", "ref_id", F.col("at").alias("seen_at"), F.when(~F.col("lived"), "missing").when(F.col("started") > 0, "deleted").otherwise("late").alias("status"))
+        .select("ref_table", "file_id", "ref_id", F.col("at").alias("seen_at"), F.when(F.col("heads") == 0, "missing").when(F.col("started") > 0, "deleted").otherwise("late").alias("status"))
     )
-    return out.unionByName(null_ref.select(out.columns))
 
 
 def period_of(at: str) -> Column:

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.shared import written
+from weftline.shared import release, written
 
 Pattern = Callable[[DataFrame], DataFrame]
 
@@ -51,31 +51,63 @@ def has_parent(inner: Pattern) -> Pattern:
     return lambda nodes: nodes.join(inner(nodes).withColumnRenamed("id", "parent"), "parent", "left_semi").select("id")
 
 
-def _spread(nodes: DataFrame, start: DataFrame, up: bool, most: int) -> DataFrame:
-    """Ids reached from start (id) in one step or more, towards the root or the leaves; stops when a level finds nothing new.
+def parents_only(nodes: DataFrame) -> DataFrame:
+    """The nodes that some node names as its parent: what every way towards the root runs over. Leaves, most of a tree, are left out."""
+    return nodes.join(nodes.where("parent IS NOT NULL").select(F.col("parent").alias("id")).distinct(), "id", "left_semi")
 
-    Edges are written once and each level's new ids too, so a level is one small join whatever came before.
+
+def lifted(up: DataFrame, combine: Callable[[str], dict[str, Column]] | None = None, each: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """(id, jump, carried columns) by pointer doubling: after round k each row's jump is its 2**k-th ancestor, and at the end null.
+
+    ``combine(far)`` gives the carried columns over the way from a row to its jump and on from there, ``far`` being the prefix of the columns found at the
+    jump. ``each`` sees every round's table. So a tree of depth d takes log2(d) joins of its inner nodes, and a cycle shows as a row that still
+    has a jump after as many rounds as any tree of this size can need. A jump to an id that isn't there ends the way.
     """
-    ends = ("id", "parent") if up else ("parent", "id")
-    edge = written(nodes.where("parent IS NOT NULL").select(F.col(ends[0]).alias("a"), F.col(ends[1]).alias("b")), "edges")
-    seen, front = None, start.select("id")
-    for _ in range(most):
-        reached = edge.join(front.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        front = written(reached if seen is None else reached.join(seen, "id", "left_anti"), "front")
-        seen = front if seen is None else seen.unionByName(front)
-        if front.isEmpty():
-            return seen
-    raise ValueError(f"the tree is deeper than {most}, or has a cycle")
+    columns = [c for c in up.columns if c not in ("id", "jump")]
+    at = up
+    for n in range(64):
+        last, at = at, written(at, "lifted", {"rows": F.count(F.lit(1)), "open": F.count("jump")})
+        release(last)
+        if each:
+            each(at)
+        if not at.observed["open"]:
+            return at
+        if n > at.observed["rows"].bit_length():
+            raise ValueError("the parents form a cycle")
+        far = at.select(F.col("id").alias("jump"), F.col("jump").alias("next"), F.lit(True).alias("found"), *[F.col(c).alias(f"far_{c}") for c in columns])
+        new = combine("far_") if combine else {}
+        at = at.join(far, "jump", "left").select("id", F.col("next").alias("jump"), *[F.when(F.col("found"), new[c]).otherwise(F.col(c)).alias(c) for c in columns])
+    raise ValueError("the parents form a cycle")
+
+
+def has_descendant(inner: Pattern) -> Pattern:
+    """Nodes above a node that the pattern matches, each once: the ancestors within 2**k steps, doubled until the root."""
+
+    def match(nodes: DataFrame) -> DataFrame:
+        reached = nodes.join(inner(nodes), "id", "left_semi").where("parent IS NOT NULL").select(F.col("parent").alias("id")).distinct()
+        found = [written(reached, "reached")]
 
+        def double(at: DataFrame) -> None:
+            further = at.where("jump IS NOT NULL").join(found[0], "id", "left_semi").select(F.col("jump").alias("id"))
+            last, found[0] = found[0], written(found[0].unionByName(further).distinct(), "reached")
+            release(last)
 
-def has_descendant(inner: Pattern, most: int = 10_000) -> Pattern:
-    """Nodes above a node that the pattern matches: the matches' ancestors, level by level, each once."""
-    return lambda nodes: nodes.select("id").join(_spread(nodes, inner(nodes), True, most), "id", "left_semi")
+        release(lifted(parents_only(nodes).select("id", F.col("parent").alias("jump")), each=double))
+        return nodes.select("id").join(found[0], "id", "left_semi")
 
+    return match
 
-def has_ancestor(inner: Pattern, most: int = 10_000) -> Pattern:
-    """Nodes below a node that the pattern matches."""
-    return lambda nodes: nodes.select("id").join(_spread(nodes, inner(nodes), False, most), "id", "left_semi")
+
+def has_ancestor(inner: Pattern) -> Pattern:
+    """Nodes below a node that the pattern matches: the inner nodes' flags are carried down by doubling."""
+
+    def match(nodes: DataFrame) -> DataFrame:
+        hit = inner(nodes).select("id", F.lit(True).alias("hit")).distinct()
+        up = parents_only(nodes).select("id", F.col("parent").alias("jump")).join(hit, "id", "left").select("id", "jump", F.coalesce("hit", F.lit(False)).alias("hit"))
+        below = lifted(up, lambda far: {"hit": F.col("hit") | F.col(f"{far}hit")}).where("hit").select(F.col("id").alias("parent"))
+        return nodes.join(below, "parent", "left_semi").select("id")
+
+    return match
 
 
 def bind_pair(nodes: DataFrame, outer: Pattern, inner: Pattern) -> DataFrame:
@@ -84,56 +116,64 @@ def bind_pair(nodes: DataFrame, outer: Pattern, inner: Pattern) -> DataFrame:
     return child.join(outer(nodes), "id", "left_semi").select("id", "child")
 
 
-def walk(nodes: DataFrame, start: Pattern, step: Callable[[Column, DataFrame], dict[str, Column]], state: dict[str, Column], until: Column | None = None, most: int = 10_000) -> DataFrame:
-    """Follows parents from each start node, carrying columns; one join per level over the walks that go on.
-
-    state: the carried columns at the start node; step gives them at the parent from the parent's columns p_*. A walk ends at a node
-    without a parent, or where ``until`` (on p_*) holds.
-    """
-    up = nodes.select(F.col("id").alias("p_id"), F.col("parent").alias("p_parent"), F.col("kind").alias("p_kind"), F.col("name").alias("p_name"))
-    up = written(up, "parents")
-    now = nodes.join(start(nodes), "id", "left_semi").select("id", F.col("parent").alias("at"), *[c.alias(k) for k, c in state.items()], F.lit(False).alias("ended"))
-    done = None
-    for depth in range(1, most):
-        on = now.join(up, now["at"] == up["p_id"])
-        nxt = step(F.lit(depth), on)
-        stop = F.lit(False) if until is None else until
-        over = now.where("at IS NULL").select("id", *state)
-        now = on.select("id", F.when(stop, F.lit(None)).otherwise(F.col("p_parent")).alias("at"), *[c.alias(k) for k, c in nxt.items()], stop.alias("ended"))
-        now = written(now, "walk")
-        done = over if done is None else done.unionByName(over)
-        if now.isEmpty():
-            return done
-    raise ValueError(f"a walk is longer than {most}, or has a cycle")
+def _above(nodes: DataFrame, start: Pattern, carried: dict[str, Column], combine: Callable[[str], dict[str, Column]], keep: list[str]) -> DataFrame:
+    """Each start node (``keep``) with what is carried from its parent up to the root, as up_*; null where it has no parent."""
+    way = lifted(parents_only(nodes).select("id", F.col("parent").alias("jump"), *[c.alias(k) for k, c in carried.items()]), combine)
+    up = way.select(F.col("id").alias("parent"), *[F.col(k).alias(f"up_{k}") for k in carried])
+    return nodes.join(start(nodes), "id", "left_semi").select(*keep, "parent").join(up, "parent", "left")
 
 
 def qualified_name(nodes: DataFrame, start: Pattern, skip: list[str], sep: str = "::") -> DataFrame:
-    """(id, qualified): names from the root to each start node, without nodes whose kind is in ``skip`` or whose name is empty."""
-
-    def step(_: Column, __: DataFrame) -> dict[str, Column]:
-        named = ~F.col("p_kind").isin(skip) & (F.coalesce(F.col("p_name"), F.lit("")) != "")
-        return {"qualified": F.when(named, F.concat(F.col("p_name"), F.lit(sep), F.col("qualified"))).otherwise(F.col("qualified"))}
-
-    return walk(nodes, start, step, {"qualified": F.coalesce(F.col("name"), F.lit(""))})
+    """(id, qualified): names from the root to each start node, without enclosing nodes whose kind is in ``skip`` or whose name is empty or null."""
+    own = F.when(F.col("kind").isin(skip) | (F.coalesce(F.col("name"), F.lit("")) == ""), F.lit("")).otherwise(F.concat("name", F.lit(sep)))
+    d = _above(nodes, start, {"names": own}, lambda far: {"names": F.concat(f"{far}names", "names")}, ["id", "name"])
+    return d.select("id", F.concat(F.coalesce("up_names", F.lit("")), F.coalesce("name", F.lit(""))).alias("qualified"))
 
 
 def nearest_ancestor(nodes: DataFrame, start: Pattern, kind_name: str) -> DataFrame:
     """(id, ancestor, depth) of the closest enclosing node of a kind; nodes without one don't come out."""
+    hit = F.col("kind") == kind_name
+    carried = {"ancestor": F.when(hit, F.col("id")), "depth": F.lit(1), "steps": F.lit(1)}
 
-    def step(depth: Column, _: DataFrame) -> dict[str, Column]:
-        return {"ancestor": F.when(F.col("p_kind") == kind_name, F.col("p_id")), "depth": depth}
+    def combine(far: str) -> dict[str, Column]:
+        here = F.col("ancestor").isNotNull()
+        further = F.col("steps") + F.col(f"{far}depth")
+        return {"ancestor": F.coalesce("ancestor", f"{far}ancestor"), "depth": F.when(here, F.col("depth")).otherwise(further), "steps": F.col("steps") + F.col(f"{far}steps")}
 
-    found = walk(nodes, start, step, {"ancestor": F.lit(None).cast("string"), "depth": F.lit(0)}, F.col("p_kind") == kind_name)
-    return found.where("ancestor IS NOT NULL")
+    d = _above(nodes, start, carried, combine, ["id"]).where("up_ancestor IS NOT NULL")
+    return d.select("id", F.col("up_ancestor").alias("ancestor"), F.col("up_depth").alias("depth"))
 
 
 def chain_walk(nodes: DataFrame, start: Pattern) -> DataFrame:
-    """(id, root, steps, path): the chain of parents from each start node to the last one."""
+    """(id, root, steps, path): the chain of parents from each start node to the last one that is there."""
+    carried = {"root": F.col("id"), "steps": F.lit(1), "path": F.concat(F.lit(">"), F.col("id"))}
+
+    def combine(far: str) -> dict[str, Column]:
+        return {"root": F.col(f"{far}root"), "steps": F.col("steps") + F.col(f"{far}steps"), "path": F.concat("path", f"{far}path")}
+
+    d = _above(nodes, start, carried, combine, ["id"])
+    return d.select("id", F.coalesce("up_root", "id").alias("root"), F.coalesce("up_steps", F.lit(0)).alias("steps"), F.concat("id", F.coalesce("up_path", F.lit(""))).alias("path"))
+
+
+def substituted_chain(links: DataFrame, start: DataFrame) -> DataFrame:
+    """(id, target, arguments, steps): delegation followed to the last target, the arguments of each call put in for the parameters of the one it calls.
+
+    links: (id, target, arguments array<string>); an argument ``$n`` stands for parameter n of the node itself, anything else for itself.
+    ``arguments`` are those of the last target in terms of the first node's parameters. Chains are doubled, as composing substitutions is
+    associative. start: (id). A node that doesn't delegate is its own target, with its parameters unknown (null).
+    """
+    up = links.select("id", F.col("target").alias("jump"), F.col("target").alias("last"), "arguments", F.lit(1).alias("steps"))
+
+    def put_in(far: str) -> Column:
+        number = lambda x: F.regexp_extract(x, r"^\$(\d+)$", 1)
+        return F.transform(f"{far}arguments", lambda x: F.when(number(x) != "", F.coalesce(F.get("arguments", number(x).try_cast("int") - 1), x)).otherwise(x))
 
-    def step(depth: Column, _: DataFrame) -> dict[str, Column]:
-        return {"root": F.col("p_id"), "steps": depth, "path": F.concat(F.col("path"), F.lit(">"), F.col("p_id"))}
+    def combine(far: str) -> dict[str, Column]:
+        return {"last": F.col(f"{far}last"), "arguments": put_in(far), "steps": F.col("steps") + F.col(f"{far}steps")}
 
-    return walk(nodes, start, step, {"root": F.col("id"), "steps": F.lit(0), "path": F.col("id")})
+    found = lifted(up, combine).select("id", F.col("last").alias("target"), "arguments", "steps")
+    d = start.select("id").join(found, "id", "left")
+    return d.select("id", F.coalesce("target", "id").alias("target"), "arguments", F.coalesce("steps", F.lit(0)).alias("steps"))
 
 
 def unique_name(places: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.packed import split_packed
+from weftline.functions.packed import split_packed, unrepeated
 from weftline.operators.accumulate import dependents, frequent_keys
 from weftline.operators.orphans import orphan_report, orphans, period_of
 from weftline.shared import scratch_path
+from weftline.sources.adapters import arguments_sql
 from weftline.sources.tables import table
 from weftline.streaming.incremental import RunLog
 
@@ -37,7 +38,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def _commands(spark: SparkSession, d: str) -> DataFrame:
     cc = table(spark, d, "compile_commands").select(F.lit("compile_commands").alias("src"), F.col("id").alias("row_id"), F.lit(0).alias("run_id"), F.col("command").alias("packed"))
     cu = table(spark, d, "compilation_unit").select(F.lit("compilation_unit").alias("src"), F.col("id").alias("row_id"), "run_id", F.col("cmd_args").alias("packed"))
-    return cc.unionByName(cu.distinct())
+    return cc.unionByName(unrepeated(cu, ["row_id", "run_id"]))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -77,6 +78,10 @@ b AS (SELECT s.*, (SELECT max(p.run_id) FROM s p JOIN scan_runs k ON k.run_id =
 SELECT b.run_id, b.id FROM b LEFT JOIN s o ON o.id = b.id AND o.run_id = b.base
 WHERE b.run_id > (SELECT min(run_id) FROM scan_runs)
   AND (o.id IS NULL OR o.timestamp IS DISTINCT FROM b.timestamp OR o.cmd_args IS DISTINCT FROM b.cmd_args OR o.deps IS DISTINCT FROM b.deps)""",
+    "p3_found": f"""SELECT src, row_id, run_id, CAST(i AS INT) AS pos, args[i] AS value FROM (
+  SELECT *, unnest(range(1, len(args) + 1)) AS i FROM (
+    SELECT 'compile_commands' AS src, id AS row_id, 0 AS run_id, {arguments_sql('command')} AS args FROM compile_commands
+    UNION ALL SELECT 'compilation_unit', id, run_id, {arguments_sql('cmd_args')} FROM (SELECT DISTINCT id, run_id, cmd_args FROM compilation_unit)))""",
     "p4_found": "SELECT dep_id FROM relations GROUP BY dep_id HAVING count(*) * 50 >= (SELECT count(*) FROM relations)",
     "p4_dependents": """SELECT dep_id, count(*) AS n_rows, count(DISTINCT file_id) AS n_dependents, max(dependency_timestamp) AS newest_timestamp
 FROM relations GROUP BY dep_id""",

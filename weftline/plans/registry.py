@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,20 @@ from weftline.sources.adapters import VIEWS
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def with_views(sql: str, views: str = "") -> str:
+    """The SQL with the common views that it or ``views``, a list of further common table expressions, names in front; recursive only where needed."""
+    used: set[str] = set()
+    todo = [sql, views]
+    while todo:
+        words = set(re.findall(r"\w+", todo.pop()))
+        new = (words & VIEWS.keys()) - used
+        used |= new
+        todo += [VIEWS[n] for n in new]
+    parts = [f"{n} AS ({v})" for n, v in VIEWS.items() if n in used] + ([views] if views else [])
+    own = re.search(r"(\w+) AS \((?:[^()]|\([^()]*\))*UNION(?: ALL)? SELECT[^()]*\b(?:FROM|JOIN) \1\b", views)
+    return (f"WITH {'RECURSIVE ' if own else ''}" + ", ".join(parts) + " " if parts else "") + sql
+
+
 class Book:
     """Queries and SQL by name."""
 
@@ -24,7 +39,7 @@ class Book:
         def keep(f: Query) -> Query:
             self.queries[f.__name__] = f
             if sql:
-                self.sql[f.__name__] = VIEWS + (", " + views if views else "") + sql
+                self.sql[f.__name__] = with_views(sql, views)
             return f
 
         return keep

@@ -50,7 +50,12 @@ def locate_sep(s: S, d: str) -> DataFrame:
     return _docs(s, d).select("doc_id", text.locate_sep(F.col("text"), ".").alias("n"))
 
 
-@book()
+@book(
+    "SELECT doc_id, CAST(coalesce(pos, -1) AS INT) AS n FROM documents LEFT JOIN (SELECT doc_id, min(pos) AS pos FROM depth WHERE open = 0 GROUP BY 1) USING (doc_id)",
+    """chars AS (SELECT doc_id, unnest(l) AS c, unnest(range(1, len(l) + 1)) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS l FROM documents)),
+opened AS (SELECT doc_id, min(pos) AS first FROM chars WHERE c = '(' GROUP BY 1),
+depth AS (SELECT doc_id, pos, sum(CASE c WHEN '(' THEN 1 ELSE -1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS open FROM chars JOIN opened USING (doc_id) WHERE pos >= first AND c IN ('(', ')'))""",
+)
 def locate_closing(s: S, d: str) -> DataFrame:
     return _docs(s, d).select("doc_id", text.locate_closing(F.col("text")).alias("n"))
 
@@ -145,12 +150,18 @@ _ABS = "regexp_matches({}, '^([/\\\\]|[A-Za-z]:)')"
 _DIR = "regexp_matches({}, '(^|[/\\\\])\\.{{0,2}}\\z')"
 
 
-@book()
+_NORMAL = f"""norm AS (SELECT path, regexp_replace(CASE WHEN len(k) = 0 THEN '.' ELSE array_to_string(k, '/') END || CASE WHEN folder THEN '/' ELSE '' END, '/+', '/', 'g') AS normal FROM (
+  SELECT path, {_DIR.format('q')} AS folder, list_reduce([CAST([] AS VARCHAR[])] || list_transform(list_filter(string_split(regexp_replace(q, '/\\z', ''), '/'), lambda t: t <> '.'), lambda t: [t]),
+    lambda done, t: CASE WHEN t[1] <> '..' THEN done || t WHEN len(done) > 0 AND done[-1] <> '..' THEN done[1:len(done) - 1] WHEN len(done) = 0 THEN ['.', '..'] ELSE done || t END) AS k
+  FROM (SELECT path, replace({_WS.format('path')}, chr(92), '/') AS q FROM p)))"""
+
+
+@book("SELECT path, normal FROM norm", f"{_P}, {_NORMAL}")
 def path_normalize(s: S, d: str) -> DataFrame:
     return _paths(s, d).select("path", paths.normalize(F.col("path")).alias("normal"))
 
 
-@book()
+@book("SELECT DISTINCT normal AS path FROM norm", f"{_P}, {_NORMAL}")
 def unique_sources(s: S, d: str) -> DataFrame:
     return paths.unique_sources(_paths(s, d))
 
@@ -205,6 +216,11 @@ _RETURNED = tree.kind("line", "name = 'R'")
 _CUSTOMERS = tree.kind("customer")
 
 
+def _tree(s: S, d: str) -> DataFrame:
+    """The node table, written once, as patterns read it several times."""
+    return written(a.tree(s, d), "nodes")
+
+
 @book("SELECT id FROM node WHERE kind = 'order' AND name = '1-URGENT'")
 def tree_kind(s: S, d: str) -> DataFrame:
     return _URGENT(a.tree(s, d))
@@ -212,12 +228,12 @@ def tree_kind(s: S, d: str) -> DataFrame:
 
 @book("SELECT id FROM node WHERE id IN (SELECT parent FROM node WHERE kind = 'order' AND name = '1-URGENT')")
 def tree_has_child(s: S, d: str) -> DataFrame:
-    return tree.has_child(_URGENT)(a.tree(s, d))
+    return tree.has_child(_URGENT)(_tree(s, d))
 
 
 @book("SELECT id FROM node WHERE parent IN (SELECT id FROM node WHERE kind = 'order' AND name = '1-URGENT')")
 def tree_has_parent(s: S, d: str) -> DataFrame:
-    return tree.has_parent(_URGENT)(a.tree(s, d))
+    return tree.has_parent(_URGENT)(_tree(s, d))
 
 
 @book(
@@ -225,7 +241,7 @@ def tree_has_parent(s: S, d: str) -> DataFrame:
     "up AS (SELECT parent AS id FROM node WHERE kind = 'line' AND name = 'R' UNION SELECT n.parent FROM up JOIN node n ON n.id = up.id WHERE n.parent IS NOT NULL)",
 )
 def tree_has_descendant(s: S, d: str) -> DataFrame:
-    return tree.has_descendant(_RETURNED)(a.tree(s, d))
+    return tree.has_descendant(_RETURNED)(_tree(s, d))
 
 
 @book(
@@ -233,22 +249,22 @@ def tree_has_descendant(s: S, d: str) -> DataFrame:
     "down AS (SELECT id FROM node WHERE parent IN (SELECT id FROM node WHERE kind = 'region' AND name = 'ASIA') UNION SELECT n.id FROM down JOIN node n ON n.parent = down.id)",
 )
 def tree_has_ancestor(s: S, d: str) -> DataFrame:
-    return tree.has_ancestor(tree.kind("region", "name = 'ASIA'"))(a.tree(s, d))
+    return tree.has_ancestor(tree.kind("region", "name = 'ASIA'"))(_tree(s, d))
 
 
 @book("SELECT id FROM node WHERE kind = 'customer' AND id NOT IN (SELECT parent FROM node WHERE kind = 'order' AND name = '1-URGENT')")
 def tree_unless(s: S, d: str) -> DataFrame:
-    return tree.unless(tree.has_child(_URGENT), _CUSTOMERS)(a.tree(s, d))
+    return tree.unless(tree.has_child(_URGENT), _CUSTOMERS)(_tree(s, d))
 
 
 @book("SELECT id FROM node WHERE (kind = 'order' AND name = '1-URGENT') OR (kind = 'customer' AND id IN (SELECT parent FROM node WHERE kind = 'order' AND name = '1-URGENT'))")
 def tree_any_of(s: S, d: str) -> DataFrame:
-    return tree.any_of(_URGENT, tree.all_of(_CUSTOMERS, tree.has_child(_URGENT)))(a.tree(s, d))
+    return tree.any_of(_URGENT, tree.all_of(_CUSTOMERS, tree.has_child(_URGENT)))(_tree(s, d))
 
 
 @book("SELECT p.id, c.id AS child FROM node c JOIN node p ON p.id = c.parent WHERE c.kind = 'order' AND c.name = '1-URGENT' AND p.kind = 'customer'")
 def tree_bind_pair(s: S, d: str) -> DataFrame:
-    return tree.bind_pair(a.tree(s, d), _CUSTOMERS, _URGENT)
+    return tree.bind_pair(_tree(s, d), _CUSTOMERS, _URGENT)
 
 
 def _placed(s: S, d: str) -> DataFrame:
@@ -289,17 +305,17 @@ _CHAIN = """walk AS (SELECT id, id AS at, parent AS next, 0 AS steps, id AS path
 
 @book("SELECT walk.id, walk.at AS root, steps, path FROM walk WHERE next IS NULL", _CHAIN)
 def chain_walk(s: S, d: str) -> DataFrame:
-    return tree.chain_walk(a.tree(s, d), tree.kind("order"))
+    return tree.chain_walk(_tree(s, d), tree.kind("order"))
 
 
 @book("SELECT c.id, r.name || '::' || n.name || '::' || o.name AS qualified FROM node c JOIN node o ON o.id = c.id JOIN node k ON k.id = o.parent JOIN node n ON n.id = k.parent JOIN node r ON r.id = n.parent WHERE c.kind = 'order'")
 def qualified_name(s: S, d: str) -> DataFrame:
-    return tree.qualified_name(a.tree(s, d), tree.kind("order"), ["customer"])
+    return tree.qualified_name(_tree(s, d), tree.kind("order"), ["customer"])
 
 
 @book("SELECT w.id, w.at AS ancestor, w.steps AS depth FROM walk w JOIN node n ON n.id = w.at WHERE n.kind = 'nation'", _CHAIN)
 def nearest_ancestor(s: S, d: str) -> DataFrame:
-    return tree.nearest_ancestor(a.tree(s, d), tree.kind("order"), "nation")
+    return tree.nearest_ancestor(_tree(s, d), tree.kind("order"), "nation")
 
 
 @book("SELECT DISTINCT file_id AS file, start_line AS line, lines_replaced AS col, 'unnamed_' || file_id || '_' || start_line || '_' || lines_replaced AS generated FROM replacements")

@@ -1,7 +1,7 @@
 """Scratch tables in the folder that all executors share.
 
-The folder is the one the session names in ``spark.checkpoint.dir``. Only where that is unset, as in
-tests, a folder on this machine is made and set.
+The folder is the one the session names in ``spark.checkpoint.dir``. Only where that is unset and everything runs on this
+machine, as in tests, a folder of this machine is made and set; on a cluster an unset folder is an error.
 """
 
 from __future__ import annotations
@@ -9,16 +9,21 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
-_made: list[tuple[SparkSession, str]] = []
+_made: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that the executors of {master} share")
         known = "file://" + tempfile.mkdtemp(prefix="weft-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
@@ -31,35 +36,58 @@ def hadoop_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder."""
+    fs, p = hadoop_path(spark, path)
+    fs.delete(p, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is removed when the driver's Python ends."""
+    """A new path in the shared folder; it is removed with its scope, or when the driver's Python ends."""
     path = f"{shared_dir(spark)}/weft-{name}-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(remove_scratch)
-    _made.append((spark, path))
+    _made[path] = spark
     return path
 
 
-def remove_scratch() -> None:
-    """Removes every scratch table made so far; results that still read one become unreadable."""
-    for spark, path in _made:
+def remove_scratch(paths: list[str] | None = None) -> None:
+    """Removes these scratch tables, or all made so far; results that still read one become unreadable."""
+    for path in list(_made) if paths is None else paths:
+        spark = _made.pop(path, None)
         try:
-            fs, p = hadoop_path(spark, path)
-            fs.delete(p, True)
+            if spark is not None:
+                remove(spark, path)
         except Exception:  # the JVM may be gone
             pass
-    _made.clear()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df computed once, written to the shared folder and read again. This cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Removes at its end the scratch tables that were made inside. Results must be stored before."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        remove_scratch([p for p in _made if p not in before])
+
 
+def written(df: DataFrame, name: str, observed: dict[str, Column] | None = None) -> DataFrame:
+    """df computed once, written to the shared folder and read again. This cuts lineage and survives lost executors.
 
-def stored_bytes(df: DataFrame) -> int:
-    """Size on disk of a DataFrame that only reads files."""
+    ``observed`` are aggregates taken while writing; they come as the attribute ``observed``, without another job.
+    """
     spark = df.sparkSession
-    return sum(hadoop_path(spark, f)[0].getFileStatus(hadoop_path(spark, f)[1]).getLen() for f in df.inputFiles())
+    path = scratch_path(spark, name)
+    seen = Observation() if observed else None
+    (df.observe(seen, *[c.alias(k) for k, c in observed.items()]) if seen else df).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    if seen:
+        out.observed = seen.get
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Removes tables that ``written`` made, once nothing reads them any more."""
+    remove_scratch([f.scratch for f in frames if f is not None and getattr(f, "scratch", None)])

@@ -98,10 +98,7 @@ def tree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def arguments(spark: SparkSession, d: str) -> DataFrame:
-    """(id, directory, file, args array<string>): compile commands with the command cut at separators outside quotes.
-
-    The view ``cmd`` in SQL doesn't regard quotes, so it differs where a command has quotes or escapes.
-    """
+    """(id, directory, file, args array<string>): compile commands with the command cut at separators outside quotes."""
     commands = table(spark, d, "compile_commands")
     by_place = F.array_sort(F.collect_list(F.struct("pos", "value")))
     cut = split_packed(commands, "command", ["id"]).groupBy("id").agg(F.transform(by_place, lambda x: x["value"]).alias("args"))
@@ -109,28 +106,45 @@ def arguments(spark: SparkSession, d: str) -> DataFrame:
     return commands.join(cut, "id", "left").select("id", "directory", "file", F.coalesce("args", none).alias("args"))
 
 
-#: The same views as common table expressions.
-VIEWS = r"""WITH RECURSIVE ok AS (SELECT run_id FROM scan_runs WHERE status = 'succeeded'),
-m AS (SELECT max(run_id) AS last FROM ok),
-file AS (SELECT id, path, number_of_lines FROM files QUALIFY row_number() OVER (PARTITION BY id ORDER BY added_at DESC, path DESC, number_of_lines DESC NULLS LAST) = 1),
-cu_runs AS (SELECT c.* FROM compilation_unit c JOIN ok USING (run_id)),
-cu AS (SELECT id, timestamp AS ts, cmd_args AS args FROM cu_runs QUALIFY row_number() OVER (PARTITION BY id ORDER BY run_id DESC, seen_at DESC, timestamp DESC, cmd_args DESC) = 1),
-cu_old AS (SELECT id, timestamp AS ts, cmd_args AS args FROM cu_runs, m WHERE run_id < last QUALIFY row_number() OVER (PARTITION BY id ORDER BY run_id DESC, seen_at DESC, timestamp DESC, cmd_args DESC) = 1),
-cu_now AS (SELECT id, timestamp AS ts, cmd_args AS args FROM cu_runs, m WHERE run_id = last QUALIFY row_number() OVER (PARTITION BY id ORDER BY seen_at DESC, timestamp DESC, cmd_args DESC) = 1),
-rel_runs AS (SELECT r.run_id, file_id, dep_id, dependency_timestamp AS ts FROM relations r JOIN ok USING (run_id) QUALIFY row_number() OVER (PARTITION BY r.run_id, file_id, dep_id ORDER BY seen_at DESC) = 1),
-rel AS (SELECT file_id, dep_id, ts FROM rel_runs QUALIFY run_id = max(run_id) OVER (PARTITION BY file_id)),
-rel_old AS (SELECT file_id, dep_id, ts FROM rel_runs, m WHERE run_id < last QUALIFY run_id = max(run_id) OVER (PARTITION BY file_id)),
-rel_now AS (SELECT file_id, dep_id, ts FROM rel_runs, m WHERE run_id = last),
-edit AS (SELECT * REPLACE (coalesce(unhandled, 1) <> 0 AS unhandled) FROM replacements),
-lines AS (SELECT id, file_id, start_line AS line, comes_from_start_line AS original_line FROM replacements QUALIFY row_number() OVER (PARTITION BY file_id, start_line ORDER BY id DESC) = 1),
-bridge AS (SELECT l.id AS line_id, e.id AS replacement_id FROM lines l JOIN replacements e ON e.file_id = l.file_id AND e.start_line = l.line),
-ledit AS (SELECT l_orderkey AS file_id, 4 * l_linenumber AS start_line, CAST(floor(min(l_quantity)) AS INT) % 3 AS replaced, CAST(floor(max(l_quantity)) AS INT) % 5 AS inserted,
-  min(l_returnflag) || max(l_linestatus) AS text FROM lineitem GROUP BY l_orderkey, l_linenumber),
-part_result AS (SELECT user_id % 8 AS worker, event_id AS seq, event_type AS transform, user_id AS path, CAST(floor(value) AS BIGINT) AS n, event_type = 'error' AS flag FROM events),
-node AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, 'region' AS kind, r_name AS name FROM region
+#: The same views in SQL; a query's SQL begins with those it uses.
+VIEWS = {
+    "ok": "SELECT run_id FROM scan_runs WHERE status = 'succeeded'",
+    "m": "SELECT max(run_id) AS last FROM ok",
+    "file": "SELECT id, path, number_of_lines FROM files QUALIFY row_number() OVER (PARTITION BY id ORDER BY added_at DESC, path DESC, number_of_lines DESC NULLS LAST) = 1",
+    "cu_runs": "SELECT c.* FROM compilation_unit c JOIN ok USING (run_id)",
+    "cu": "SELECT id, timestamp AS ts, cmd_args AS args FROM cu_runs QUALIFY row_number() OVER (PARTITION BY id ORDER BY run_id DESC, seen_at DESC, timestamp DESC, cmd_args DESC) = 1",
+    "cu_old": "SELECT id, timestamp AS ts, cmd_args AS args FROM cu_runs, m WHERE run_id < last QUALIFY row_number() OVER (PARTITION BY id ORDER BY run_id DESC, seen_at DESC, timestamp DESC, cmd_args DESC) = 1",
+    "cu_now": "SELECT id, timestamp AS ts, cmd_args AS args FROM cu_runs, m WHERE run_id = last QUALIFY row_number() OVER (PARTITION BY id ORDER BY seen_at DESC, timestamp DESC, cmd_args DESC) = 1",
+    "rel_runs": "SELECT r.run_id, file_id, dep_id, dependency_timestamp AS ts FROM relations r JOIN ok USING (run_id) QUALIFY row_number() OVER (PARTITION BY r.run_id, file_id, dep_id ORDER BY seen_at DESC) = 1",
+    "rel": "SELECT file_id, dep_id, ts FROM rel_runs QUALIFY run_id = max(run_id) OVER (PARTITION BY file_id)",
+    "rel_old": "SELECT file_id, dep_id, ts FROM rel_runs, m WHERE run_id < last QUALIFY run_id = max(run_id) OVER (PARTITION BY file_id)",
+    "rel_now": "SELECT file_id, dep_id, ts FROM rel_runs, m WHERE run_id = last",
+    "edit": "SELECT * REPLACE (coalesce(unhandled, 1) <> 0 AS unhandled) FROM replacements",
+    "lines": "SELECT id, file_id, start_line AS line, comes_from_start_line AS original_line FROM replacements QUALIFY row_number() OVER (PARTITION BY file_id, start_line ORDER BY id DESC) = 1",
+    "bridge": "SELECT l.id AS line_id, e.id AS replacement_id FROM lines l JOIN replacements e ON e.file_id = l.file_id AND e.start_line = l.line",
+    "ledit": """SELECT l_orderkey AS file_id, 4 * l_linenumber AS start_line, CAST(floor(min(l_quantity)) AS INT) % 3 AS replaced, CAST(floor(max(l_quantity)) AS INT) % 5 AS inserted,
+  min(l_returnflag) || max(l_linestatus) AS text FROM lineitem GROUP BY l_orderkey, l_linenumber""",
+    "part_result": "SELECT user_id % 8 AS worker, event_id AS seq, event_type AS transform, user_id AS path, CAST(floor(value) AS BIGINT) AS n, event_type = 'error' AS flag FROM events",
+    "node": """SELECT 'r' || r_regionkey AS id, NULL AS parent, 'region' AS kind, r_name AS name FROM region
   UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'nation', n_name FROM nation
   UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'customer', c_mktsegment FROM customer
   UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, 'order', o_orderpriority FROM orders
-  UNION ALL SELECT 'l' || l_orderkey || '.' || l_linenumber, 'o' || l_orderkey, 'line', min(l_returnflag) FROM lineitem GROUP BY l_orderkey, l_linenumber),
-cmd AS (SELECT id, directory, file, list_filter(regexp_split_to_array(command, '[ \t\n\r;|]+'), lambda x: x <> '') AS args FROM compile_commands)
-"""
+  UNION ALL SELECT 'l' || l_orderkey || '.' || l_linenumber, 'o' || l_orderkey, 'line', min(l_returnflag) FROM lineitem GROUP BY l_orderkey, l_linenumber""",
+}
+
+#: An argument: characters that neither separate nor quote, escapes, and quoted stretches; then its pieces.
+_ARGUMENT = r"""(?:[^ \t\n\x0B\f\r;|"'\\]|\\+["' ]|\\+|"(?:[^"\\]|\\+"|\\+)*(?:"|\z)|'[^']*(?:'|\z))+"""
+_ARGUMENT_PIECE = r"""[^"'\\]+|\\+["' ]|\\+|"(?:[^"\\]|\\+"|\\+)*(?:"|\z)|'[^']*(?:'|\z)"""
+
+
+def arguments_sql(text: str) -> str:
+    """A SQL expression: the list of a packed field's arguments, with regard to quotes and escapes."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    # Within a double quote an escaped mark stands for itself, within a single quote all does; outside, the last backslash before a mark or blank goes.
+    double = "replace(regexp_replace(x[2:], '(^|[^\\\\])\"\\z', '\\1'), '\\\"', '\"')"
+    escaped = "regexp_replace(x, '\\\\([\"'' ])', '\\1')"
+    piece = f"CASE x[1] WHEN '\"' THEN {double} WHEN chr(39) THEN rtrim(x[2:], chr(39)) WHEN chr(92) THEN {escaped} ELSE x END"
+    return f"list_transform(regexp_extract_all({text}, {q(_ARGUMENT)}), lambda a: array_to_string(list_transform(regexp_extract_all(a, {q(_ARGUMENT_PIECE)}), lambda x: {piece}), ''))"
+
+
+VIEWS["cmd"] = f"SELECT id, directory, file, {arguments_sql('command')} AS args FROM compile_commands"
