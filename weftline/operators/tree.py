@@ -60,7 +60,7 @@ def lifted(up: DataFrame, combine: Callable[[str], dict[str, Column]] | None = N
     """(id, jump, carried columns) by pointer doubling: after round k each row's jump is its 2**k-th ancestor, and at the end null.
 
     ``combine(far)`` gives the carried columns over the way from a row to its jump and on from there, ``far`` being the prefix of the columns found at the
-    jump. ``each`` sees every round's table. So a tree of depth d takes log2(d) joins of its inner nodes, and a cycle shows as a row that still
+    jump. ``each`` sees the table of every round that has jumps. So a tree of depth d takes log2(d) joins of its inner nodes, and a cycle shows as a row that still
     has a jump after as many rounds as any tree of this size can need. A jump to an id that isn't there ends the way.
     """
     columns = [c for c in up.columns if c not in ("id", "jump")]
@@ -68,10 +68,10 @@ def lifted(up: DataFrame, combine: Callable[[str], dict[str, Column]] | None = N
     for n in range(64):
         last, at = at, written(at, "lifted", {"rows": F.count(F.lit(1)), "open": F.count("jump")})
         release(last)
-        if each:
-            each(at)
         if not at.observed["open"]:
             return at
+        if each:
+            each(at)
         if n > at.observed["rows"].bit_length():
             raise ValueError("the parents form a cycle")
         far = at.select(F.col("id").alias("jump"), F.col("jump").alias("next"), F.lit(True).alias("found"), *[F.col(c).alias(f"far_{c}") for c in columns])

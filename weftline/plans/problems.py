@@ -30,9 +30,12 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The job as it would have run: one batch as each run came in, judged by the state that the batches before it left."""
     log = RunLog(spark, scratch_path(spark, "runs"))
-    log.process(table(spark, d, "compilation_unit"), table(spark, d, "relations"), table(spark, d, "scan_runs"))
-    return log.changes().select("run_id", "id").distinct()
+    units, relations, runs = (table(spark, d, t) for t in ("compilation_unit", "relations", "scan_runs"))
+    for run in sorted(r[0] for r in runs.select("run_id").where("run_id IS NOT NULL").distinct().collect()):
+        log.process(units, relations, runs, upper=run)
+    return log.changes().distinct()
 
 
 def _commands(spark: SparkSession, d: str) -> DataFrame:
