@@ -264,3 +264,44 @@ def test_leaks_late_in_a_long_item(spark):
     docs = spark.createDataFrame([(1, " ".join(["f", *item[5300:], "f"])), (2, " ".join(item[5500:]))], "doc_id long, text string")
     found = L.leaks(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
     assert [(r.doc, r.held) for r in found] == [(1, 3700)]
+
+
+def test_short_items(spark):
+    rnd = random.Random(11)
+    items = {n * 10 + k: [f"w{rnd.randrange(9)}" for _ in range(n)] for n in range(1, 13) for k in range(3)}
+    docs = {d: [f"w{rnd.randrange(14)}" for _ in range(rnd.randrange(1, 14))] for d in range(40)}
+    found = L.leaks(
+        spark.createDataFrame([(d, " ".join(t)) for d, t in docs.items()], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    ).collect()
+    got = {(r.doc, r.item) for r in found}
+    want = {(d, i) for d, t in docs.items() for i, w in items.items() if plain_passing(w, t)}
+    assert want and got == want
+
+
+def test_prefix_meets_every_stretch():
+    rnd = np.random.default_rng(5)
+    for _ in range(400):
+        n, width = int(rnd.integers(6, 90)), int(rnd.integers(1, 3))
+        rank = rnd.integers(0, n, n - width + 1)
+        places = L.prefix(rank, n, width)
+        size = int(rnd.integers(L.least_held(n), n + 1))
+        at = int(rnd.integers(0, n - size + 1))
+        inside = np.arange(at, at + size - width + 1)
+        shared = inside[np.argsort(-rank[inside])][: L.least_shared(size, width)]
+        assert places[shared].any(), "the most frequent places that a stretch can share"
+
+
+def test_arrangement_check_sees_faults(spark):
+    packs = spark.createDataFrame([(1, 10)], "pack_id int, capacity int")
+    sizes = spark.createDataFrame([(1, 4), (2, 25), (3, 7), (4, 3)], "doc long, n_tokens long")
+    good = P.pack(sizes, "doc", [(1, 10)])
+    assert tuple(P.checked(good, sizes, "doc", packs).first()) == (1, 0, 0, 0, 4)
+    bad = spark.createDataFrame([(1, 0, 1, 0, 0, 4), (1, 0, 3, 0, 0, 7), (1, 1, 4, 0, 0, 1), (1, 2, 4, 1, 1, 2), (1, 3, 2, 0, 0, 10)], good.schema)
+    assert tuple(P.checked(bad, sizes, "doc", packs).first()) == (1, 1, 1, 1, 4)
+
+
+def test_labels_beyond_the_histogram_count(spark):
+    feats = spark.createDataFrame([(i, float(10 * lv), 0.1) for i, lv in enumerate([1, 2, 3, 4] * 20)] + [(99, 1e7, 0.9)], "doc long, length double, unfamiliar double")
+    labels = spark.createDataFrame([(i, lv) for i, lv in enumerate([1, 2, 3, 4] * 20)] + [(99, 4)], "doc_id long, level int")
+    weights, cuts = R.fitted(feats, labels)
+    assert len(weights) == 3 and len(cuts) == 3

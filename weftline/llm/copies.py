@@ -9,11 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.shared import written
-from weftline.skew import hot_keys, with_salt
+from weftline.skew import hinted, hot_keys, with_salt
 
 FIELDS = ("directory", "command", "file")
 #: A group with more records than this is salted.
-ROWS_PER_SPLIT = 200_000
+ROWS_PER_SPLIT = 50_000
 
 
 def canonical(text: Column) -> Column:
@@ -62,18 +62,19 @@ def keyed(df: DataFrame, src: str, record_id: str, key: Column) -> DataFrame:
 def grouped(df: DataFrame, rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
     """(src, key, id, keep_id, n_copies): each distinct record with its group's smallest id and number of distinct records.
 
-    Keys with more than ``rows_per_split`` rows are found exactly from partial counts. Their records are aggregated by (key, salt) and
-    then by key, and the few results are broadcast to their records. All other records meet their group in one shuffle.
+    Keys with more than ``rows_per_split`` rows are found from partial counts of the input splits. Their records are aggregated by (key, salt) and
+    then by key, and the few results go back to their records. All other records meet their group in one shuffle.
     A record that comes several times with one key counts once.
     """
     hot = hot_keys(df, "key", rows_per_split)
-    cold = df.join(F.broadcast(hot), "key", "left_anti").repartition("key").dropDuplicates(["key", "id"])
+    cold = df.join(hinted(hot), "key", "left_anti").repartition("key").dropDuplicates(["key", "id"])
     w = W.partitionBy("key")
     cold = cold.select("src", "key", "id", F.min("id").over(w).alias("keep_id"), F.count(F.lit(1)).over(w).alias("n_copies"))
-    many = with_salt(df.join(F.broadcast(hot), "key", "left_semi"), hot, "key", "id").groupBy("src", "key", "salt", "id").agg(F.lit(1).alias("one")).drop("one")
+    many = with_salt(df.join(hinted(hot), "key", "left_semi"), hot, "key", "id").groupBy("src", "key", "salt", "id").agg(F.lit(1).alias("one")).drop("one")
     first = many.groupBy("src", "key", "salt").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     second = first.groupBy("key").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n_copies"))
-    return cold.unionByName(many.join(F.broadcast(second), "key").select("src", "key", "id", "keep_id", "n_copies"))
+    second = F.broadcast(second) if hot.few else second.hint("merge")
+    return cold.unionByName(many.join(second, "key").select("src", "key", "id", "keep_id", "n_copies"))
 
 
 def copies(df: DataFrame, rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:

@@ -11,15 +11,14 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.shared import written
 
-#: Two words: of longer shingles a stretch of the least score may have none, as every second word may have one added behind it.
+#: Words of a shingle: of three words a stretch of the least score may have none, as every second word may have one added behind it.
 SHINGLE = 2
-#: Items of fewer words are not searched.
-LEAST_WORDS = 5
+#: Items of fewer words have shingles of one word, as one equal word is all they need; any longer stretch begins with two equal words in a row.
+SHORT = 3
 #: A document holds an item if it has this share of its words in one running stretch.
 SHARE = 0.4
 #: An aligned stretch scores 1 for an equal word and -1 for one altered, missing or added; at least this much a word.
@@ -45,17 +44,17 @@ def words(text: str) -> list[bytes]:
     return text.lower().encode("utf8", "replace").translate(_SPACED, b"-'").split()
 
 
-def shingles(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingles(ids: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(positions, 64-bit hashes) of the shingles in which every word is known, that is, its id isn't 0."""
-    if len(ids) < SHINGLE:
+    if len(ids) < width:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     known = ids > 0
-    whole = known[: len(ids) - SHINGLE + 1].copy()
-    for k in range(1, SHINGLE):
-        whole &= known[k : len(ids) - SHINGLE + 1 + k]
+    whole = known[: len(ids) - width + 1].copy()
+    for k in range(1, width):
+        whole &= known[k : len(ids) - width + 1 + k]
     at = np.flatnonzero(whole)
     h = np.zeros(len(at), np.uint64)
-    for k in range(SHINGLE):
+    for k in range(width):
         h = (h ^ ids[at + k].astype(np.uint64)) * _PRIME
         h ^= h >> np.uint64(29)
     return at, h.view(np.int64)
@@ -66,26 +65,51 @@ def least_held(n_words: int) -> int:
     return math.ceil(SHARE * n_words - 1e-9)
 
 
-def needed(n_words: int, n_shingles: int) -> int:
-    """Distinct shingles that a document which holds an item of so many words and distinct shingles shares with it.
+def least_shared(n_words: int, width: int = SHINGLE) -> int:
+    """Places in a stretch that covers so many item words whose shingles the document has, at least.
 
     Each error ends a run of equal words at most, so a stretch has at least as many pairs of equal neighbours as its score less one, and
-    its score is at least DENSITY a word. A pair that the item repeats may count once only.
+    its score is at least DENSITY a word. Of single words (1 + DENSITY) / 2 are equal at least, as one altered costs two.
     """
-    repeated = n_words - SHINGLE + 1 - n_shingles
-    return max(1, math.ceil(DENSITY * least_held(n_words)) - 1 - repeated)
+    return max(1, math.ceil(DENSITY * n_words - 1 - 1e-9) if width == 2 else math.ceil((1 + DENSITY) / 2 * n_words - 1e-9))
 
 
-def dense(at: np.ndarray, least: int) -> bool:
+def needed(n_words: int, n_shingles: int, width: int = SHINGLE) -> int:
+    """Distinct shingles that a document which holds an item of so many words and distinct shingles shares with it; a shingle that the item repeats may count once only."""
+    return max(1, least_shared(least_held(n_words), width) - (n_words - width + 1 - n_shingles))
+
+
+def prefix(rank: np.ndarray, n_words: int, width: int = SHINGLE) -> np.ndarray:
+    """Which places of an item, with these ranks of rarity, are necessary: every document that holds the item has the shingle of one of them.
+
+    A stretch of two times the least length or more has a half in which as large a share of places is shared. So there is a window of at least the least
+    length and less than twice of it, ``least_shared`` of whose places are shared, and hence one of the rarest in it. The prefix is the union of these over all windows.
+    In long items windows begin and end on a grid, and each stretch lies in the smallest that holds it.
+    """
+    held = least_held(n_words)
+    grid = max(1, held // 24)
+    padded = np.concatenate([rank, np.full(-(-n_words // grid) * grid - n_words, np.iinfo(np.int64).max)])
+    out = np.zeros(len(padded), bool)
+    slack = 2 * (grid - 1)
+    for size in range(-(-held // grid) * grid, min(2 * held + slack, len(padded) + width - 1) + 1, grid):
+        windows = np.lib.stride_tricks.sliding_window_view(padded, size - width + 1)[::grid]
+        last = windows.shape[1] - least_shared(max(held, size - slack), width)
+        bound = np.partition(windows, last, axis=1)[:, last]
+        for k, (window, most) in enumerate(zip(windows, bound, strict=True)):
+            out[k * grid : k * grid + len(window)] |= window <= most
+    return out[: len(rank)]
+
+
+def dense(at: np.ndarray, least: int, width: int = SHINGLE) -> bool:
     """Whether shingles at these places, in order, have ``least`` or more in a row that stand as close together as those of a stretch.
 
-    A stretch with k pairs of equal neighbours has (k + 1) / DENSITY equal words at most, of which 1 - DENSITY can each bring an error.
+    A stretch of k equal words has (1 - DENSITY) * k words more at most, and one with k pairs of equal neighbours has (k + 1) / DENSITY equal words at most.
     """
     if len(at) < least:
         return False
-    each = (2 - DENSITY) / DENSITY
+    each = 2 - DENSITY if width == 1 else (2 - DENSITY) / DENSITY
     x = each * np.arange(len(at)) - at
-    return bool((x[least - 1 :] - np.minimum.accumulate(x)[: len(x) - least + 1]).max() >= SHINGLE - 2 * each - 1e-6)
+    return bool((x[least - 1 :] - np.minimum.accumulate(x)[: len(x) - least + 1]).max() >= width - width * each - 1e-6)
 
 
 def aligned(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -112,14 +136,16 @@ def passing(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
     The best local alignment may bridge a gap and then be too thin, or be too short, where another stretch passes. So every beginning is
     followed by itself. A stretch is only looked at where no piece at either end costs as much as it scores, so that foreign
-    words around a short echo don't lengthen it. It can begin with the first word of a run of two or more.
+    words around a short echo don't lengthen it. It can begin with the first word of a run of two or more, or of any run in a short item.
     """
     size, least = len(item), least_held(len(item))
     equal = item[:, None] == text[None, :]
     heads = equal.copy()
     heads[1:, 1:] &= ~equal[:-1, :-1]
-    heads[:-1, :-1] &= equal[1:, 1:]
-    heads[-1], heads[:, -1], heads[size - least + 1 :] = False, False, False
+    if size >= SHORT:
+        heads[:-1, :-1] &= equal[1:, 1:]
+        heads[-1], heads[:, -1] = False, False
+    heads[size - least + 1 :] = False
     # The score in the upper 32 bits; below, counted down, the best score on the way to it.
     one, low = 1 << 32, (1 << 32) - 1
     steps = np.arange(len(text), dtype=np.int64) * one
@@ -162,13 +188,26 @@ def may_align(item: np.ndarray, text: np.ndarray) -> bool:
     return False
 
 
-def _hits(corpus: DataFrame, key: str, text: str, vocabulary: dict[bytes, int], known: np.ndarray, least: int, reach: int) -> DataFrame:
-    """Regions of documents around shingles that some item has: (key, region, ids, at, hashes)."""
+#: Counts of shingles that one row of a scan holds.
+_COUNTS = 4096
+_FOUND = "doc long, region int, ids binary, at binary, hashes array<long>"
+
+
+def _scanned(corpus: DataFrame, key: str, text: str, vocabulary: dict[bytes, int], known: np.ndarray, least: int, reach: int, width: int) -> DataFrame:
+    """Regions of documents around shingles that some item has: (key, region, ids, at, hashes).
+
+    Rows with region -1 hold, for each task, in how many of its documents a shingle of ``hashes`` stands, as numbers in ``at``.
+    """
     shared = corpus.sparkSession.sparkContext.broadcast((vocabulary, known))
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+
+    def batch(rows: tuple[list, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=["k", "r", "i", "a", "h"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, sorted_known = shared.value
         get = voc.get
+        documents = np.zeros(len(sorted_known), np.int32)
         for b in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -176,41 +215,78 @@ def _hits(corpus: DataFrame, key: str, text: str, vocabulary: dict[bytes, int],
                     continue
                 ws = words(t)
                 ids = np.fromiter(map(get, ws, repeat(0)), np.int32, len(ws))
-                at, h = shingles(ids)
-                if len(at) < least:
+                at, h = shingles(ids, width)
+                if not len(at):
                     continue
                 place = np.searchsorted(sorted_known, h)
                 place[place == len(sorted_known)] = 0
                 mine = sorted_known[place] == h
-                at, h = at[mine], h[mine]
+                at, h, place = at[mine], h[mine], place[mine]
+                documents[np.unique(place)] += 1
                 if len(at) < least:
                     continue
                 for n, part in enumerate(np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 2 * reach) + 1)):
-                    if not dense(at[part], least):
+                    if not dense(at[part], least, width):
                         continue
-                    a, z = max(0, int(at[part[0]]) - reach), int(at[part[-1]]) + SHINGLE + reach
+                    a, z = max(0, int(at[part[0]]) - reach), int(at[part[-1]]) + width + reach
                     for col, v in zip(rows, (k, n, ids[a:z].tobytes(), (at[part] - a).astype(np.int32).tobytes(), h[part]), strict=True):
                         col.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=["k", "r", "i", "a", "h"])
+            yield batch(rows)
+        seen = np.flatnonzero(documents)
+        for a in range(0, len(seen), _COUNTS):
+            part = seen[a : a + _COUNTS]
+            yield batch(([None], [-1], [None], [documents[part].tobytes()], [sorted_known[part]]))
 
-    return corpus.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(scan, "doc long, region int, ids binary, at binary, hashes array<long>")
+    return corpus.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(scan, _FOUND)
 
 
-def _verified(candidates: DataFrame, items: dict[int, np.ndarray]) -> DataFrame:
-    """(doc, item, held, n_words, score) of the candidates (doc, ids, at, hashes, items) that hold an item."""
-    shared = candidates.sparkSession.sparkContext.broadcast(items)
+def _frequencies(found: DataFrame) -> DataFrame:
+    """(shingle, df): in how many documents of the whole corpus each shingle stands."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw, hashes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(np.frombuffer(raw, np.int32).astype(np.int64))], names=["s", "n"])
+
+    counts = found.where("region = -1").select("at", "hashes").mapInArrow(unpack, "shingle long, n long")
+    return counts.groupBy("shingle").agg(F.sum("n").alias("df"))
+
+
+def _index(items: dict[int, np.ndarray], df: dict[int, int], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted hashes, bounds, items): the inverted index of the items' necessary prefixes, shingles ordered by rarity over the corpus."""
+    pairs = []
+    for i, w in items.items():
+        h = shingles(w, width)[1]
+        n = np.array([df.get(int(x), 0) for x in h], np.int64)
+        order = np.lexsort((h, n))
+        rank = np.empty(len(h), np.int64)
+        # Equal shingles share a rank, so a place is in the prefix whenever an equal one is.
+        rank[order] = np.concatenate([[0], np.cumsum((np.diff(n[order]) != 0) | (np.diff(h[order]) != 0))])
+        pairs += [(int(x), i) for x in np.unique(h[prefix(rank, len(w), width)])]
+    pairs.sort()
+    hashes = np.array([x for x, _ in pairs], np.int64)
+    keys, first = np.unique(hashes, return_index=True)
+    return keys, np.append(first, len(hashes)), np.array([i for _, i in pairs], np.int64)
+
+
+def _verified(regions: DataFrame, items: dict[int, np.ndarray], index: tuple[np.ndarray, np.ndarray, np.ndarray], width: int) -> DataFrame:
+    """(doc, item, held, n_words, score) of the regions (doc, ids, at, hashes) that hold an item: candidates by the prefix, then bounds on places, then alignment."""
+    shared = regions.sparkSession.sparkContext.broadcast((items, index))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = shared.value
-        own = {i: np.unique(shingles(w)[1]) for i, w in texts.items()}
+        texts, (keys, first, owners) = shared.value
+        own: dict[int, np.ndarray] = {}
         for b in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
-            for doc, raw, raw_at, hashes, among in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
+            for doc, raw, raw_at, hashes in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
                 ids, at, h = np.frombuffer(raw, np.int32), np.frombuffer(raw_at, np.int32), np.array(hashes, np.int64)
-                for i in among:
-                    w, mine = texts[i], own[i]
-                    size, least = len(w), needed(len(w), len(mine))
+                place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                rare = np.unique(place[keys[place] == h])
+                among = np.unique(np.concatenate([owners[first[x] : first[x + 1]] for x in rare])) if len(rare) else ()
+                for i in map(int, among):
+                    w = texts[i]
+                    mine = own[i] if i in own else own.setdefault(i, np.unique(shingles(w, width)[1]))
+                    size, least = len(w), needed(len(w), len(mine), width)
                     place = np.minimum(np.searchsorted(mine, h), len(mine) - 1)
                     hit = mine[place] == h
                     p, q = at[hit], h[hit]
@@ -218,10 +294,10 @@ def _verified(candidates: DataFrame, items: dict[int, np.ndarray]) -> DataFrame:
                         continue
                     # Hits further apart than any two neighbours in a stretch are in different windows. A stretch begins and ends with a hit,
                     # as any other beginning or end would score no more than it costs.
-                    for part in np.split(np.arange(len(p)), np.flatnonzero(np.diff(p) > size + SHINGLE) + 1):
-                        if not dense(p[part], least) or len(np.unique(q[part])) < least:
+                    for part in np.split(np.arange(len(p)), np.flatnonzero(np.diff(p) > size + width) + 1):
+                        if not dense(p[part], least, width) or len(np.unique(q[part])) < least:
                             continue
-                        window = ids[int(p[part[0]]) : int(p[part[-1]]) + SHINGLE]
+                        window = ids[int(p[part[0]]) : int(p[part[-1]]) + width]
                         if not may_align(w, window):
                             continue
                         held, score = aligned(w, window)
@@ -232,45 +308,39 @@ def _verified(candidates: DataFrame, items: dict[int, np.ndarray]) -> DataFrame:
                                 col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["a", "b", "c", "d", "e"])
 
-    return candidates.select("doc", "ids", "at", "hashes", "items").mapInArrow(verify, "doc long, item long, held long, n_words long, score long")
+    return regions.select("doc", "ids", "at", "hashes").mapInArrow(verify, "doc long, item long, held long, n_words long, score long")
 
 
-def _block(corpus: DataFrame, key: str, text: str, rows: list[tuple[int, str]]) -> DataFrame | None:
-    """The leaks of one block of items."""
-    spark = corpus.sparkSession
+def _block(corpus: DataFrame, key: str, text: str, rows: list[tuple[int, str]], width: int) -> DataFrame | None:
+    """The leaks of one block of items, those that have shingles of this width."""
     vocabulary: dict[bytes, int] = {}
     items = {}
     for i, t in rows:
-        ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(t or "")], np.int32)
-        if len(ids) >= LEAST_WORDS:
-            items[i] = ids
+        ws = words(t or "")
+        if ws and (len(ws) < SHORT) == (width == 1):
+            items[i] = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in ws], np.int32)
     if not items:
         return None
-    distinct = {i: np.unique(shingles(w)[1]) for i, w in items.items()}
-    own = [(i, int(x), needed(len(items[i]), len(h))) for i, h in distinct.items() for x in h]
-    known = np.unique(np.array([x for _, x, _ in own], np.int64))
-    least, reach = min(t for _, _, t in own), max(map(len, items.values()))
-    found = written(_hits(corpus, key, text, vocabulary, known, least, reach), "hits")
-    pairs = found.select("doc", "region", F.explode(F.array_distinct("hashes")).alias("shingle"))
-    frequency = pairs.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-    table = spark.createDataFrame(pa.table({"item": [a for a, _, _ in own], "shingle": [b for _, b, _ in own], "least": [c for _, _, c in own]}))
-    rarest = W.partitionBy("item").orderBy(F.coalesce("df", F.lit(0)), "shingle")
-    ranked = table.join(frequency, "shingle", "left").withColumns({"rank": F.row_number().over(rarest), "n": F.count(F.lit(1)).over(W.partitionBy("item"))})
-    # Whoever shares `least` of n shingles shares one of the n - least + 1 rarest.
-    prefix = ranked.where(F.col("rank") <= F.col("n") - F.col("least") + 1).select("item", "shingle")
-    candidates = pairs.join(prefix, "shingle").groupBy("doc", "region").agg(F.collect_set("item").alias("items"))
-    return _verified(found.join(candidates, ["doc", "region"]), items)
+    own = {i: np.unique(shingles(w, width)[1]) for i, w in items.items()}
+    known = np.unique(np.concatenate(list(own.values())))
+    least, reach = min(needed(len(items[i]), len(h), width) for i, h in own.items()), max(map(len, items.values()))
+    found = written(_scanned(corpus, key, text, vocabulary, known, least, reach, width), "regions")
+    # At most the shingles of one block of items.
+    counts = _frequencies(found).toArrow()
+    df = dict(zip(counts["shingle"].to_pylist(), counts["df"].to_pylist(), strict=True))
+    spread = found.where("region >= 0").repartition(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc", "region")
+    return _verified(spread, items, _index(items, df, width), width)
 
 
 def leaks(corpus: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc, item, held, n_words): documents that hold at least SHARE of an item's words in one running stretch.
 
-    Items are taken in blocks of about ``block_words`` words, which bounds what a task holds; each block is one pass over whole
-    documents. The pass keeps regions around shingles that some item has. Their document frequencies order each item's
-    shingles by rarity, and its necessary prefix is joined with the regions' shingles. A candidate must then
-    share enough shingles within windows of the item's size, and is verified by aligning item and window word by word. Null texts hold
-    nothing; items of fewer than LEAST_WORDS words are not searched; a null key is kept as null. Repeated documents or items
-    give one row each pair.
+    Items are taken in blocks of about ``block_words`` words, which bounds what a task and the driver hold; each block is one pass over whole
+    documents, and one more if it has items of fewer than SHORT words. The pass keeps regions around shingles that some item has, and counts
+    in how many documents of the whole corpus each shingle stands. These frequencies order shingles by rarity, and each item's necessary prefix goes
+    into an inverted index, which is broadcast to the regions, so a frequent shingle gathers no rows anywhere. A candidate must then
+    share enough shingles within windows of the item's size and in a band of places, and is verified by aligning item and window word by word. Null texts hold
+    nothing; an item without words is held by none; a null key is kept as null. Repeated documents or items give one row each pair.
     """
     spark = corpus.sparkSession
     known = items.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t")).distinct()
@@ -279,9 +349,10 @@ def leaks(corpus: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     out = None
     for b in range(n):
         rows = [(r[0], r[1]) for r in known.where(F.pmod(F.xxhash64("i"), F.lit(n)) == b).orderBy("i", "t").collect()]
-        part = _block(corpus, key, text, rows)
-        if part is not None:
-            out = part if out is None else out.unionByName(part)
+        for width in (SHINGLE, 1):
+            part = _block(corpus, key, text, rows, width)
+            if part is not None:
+                out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "doc long, item long, held long, n_words long")
     return out.groupBy("doc", "item").agg(F.max("held").alias("held"), F.max("n_words").alias("n_words"))

@@ -16,7 +16,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 OPEN_BINS = 512
-ITEMS_PER_TASK = 500_000
+#: A share's last open containers stay partly empty, so a share must hold many times as many items as it has open containers.
+ITEMS_PER_TASK = 50_000
 
 
 def token_counts(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -116,9 +117,27 @@ def pack(sizes: DataFrame, key: str, capacities: list[tuple[int, int]], open_bin
 
 def pack_texts(df: DataFrame, key: str, text: str, packs: DataFrame, tokenizer: str = TOKENIZER, open_bins: int = OPEN_BINS) -> DataFrame:
     """``pack`` over token counts. packs: (pack_id, capacity), a fixed handful of rows."""
-    sizes = written(token_counts(df, key, text, tokenizer), "sizes")
-    caps = [(r[0], r[1]) for r in packs.select("pack_id", "capacity").distinct().orderBy("pack_id").collect()]
-    return pack(sizes, key, caps, open_bins)
+    return pack(written(token_counts(df, key, text, tokenizer), "sizes"), key, capacities_of(packs), open_bins)
+
+
+def capacities_of(packs: DataFrame) -> list[tuple[int, int]]:
+    """The distinct (pack_id, capacity) rows, a fixed handful."""
+    return [(r[0], r[1]) for r in packs.select("pack_id", "capacity").distinct().orderBy("pack_id").collect()]
+
+
+def checked(placed: DataFrame, sizes: DataFrame, key: str, packs: DataFrame) -> DataFrame:
+    """Per pack what must hold of any arrangement: containers above the capacity, items cut though they fit, items not placed whole (all 0), and items placed."""
+    caps = F.broadcast(packs.select("pack_id", "capacity"))
+    full = placed.groupBy("pack_id", "container_id").agg(F.sum("n_tokens").alias("used")).join(caps, "pack_id")
+    over = full.groupBy("pack_id").agg(F.count_if(F.col("used") > F.col("capacity")).alias("n_over"))
+    n, piece = F.col("n_tokens"), F.col("piece")
+    per = placed.groupBy("pack_id", key).agg(F.count(F.lit(1)).alias("pieces"), F.sum(n).alias("placed"), F.max(F.col("start") + n).alias("end"), F.max(piece).alias("last"))
+    items = per.join(sizes.select(key, F.col("n_tokens").alias("size")), key, "left").join(caps, "pack_id")
+    whole = (F.col("placed") == F.col("size")) & (F.col("end") == F.col("size")) & (F.col("last") + 1 == F.col("pieces"))
+    cut = items.groupBy("pack_id").agg(
+        F.count_if((F.col("pieces") > 1) & (F.col("size") <= F.col("capacity"))).alias("n_cut"), F.count_if(~F.coalesce(whole, F.lit(False))).alias("n_broken"), F.count(F.lit(1)).alias("n_items")
+    )
+    return over.join(cut, "pack_id").select("pack_id", "n_over", "n_cut", "n_broken", "n_items")
 
 
 def fill(placed: DataFrame, packs: DataFrame) -> DataFrame:

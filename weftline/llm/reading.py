@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.shared import written
+from weftline.shared import release, written
 
 # Headings of the parts of a document, and frequent function words of each language.
 PROSE_HEADS = ("abstract", "description", "zusammenfassung", "beschreibung", "abrégé", "resumen", "descripción")
@@ -25,10 +25,14 @@ FUNCTION_WORDS = {
 }
 #: Share of sentences left out at either end of a document, which keeps foreign passages, formulas and damage out of its means.
 TRIM = 0.25
-#: The plainest share of a language's documents, by sentence length, from whose document frequencies the list of familiar words comes.
-PLAIN = 0.10
-#: A word is familiar if at least this share of the plain documents has it.
-FAMILIAR = 0.05
+#: A document counts by this power of the share of its language's documents with sentences at least as long, so plain documents count most and all count.
+PLAINER = 4
+#: Weights are whole numbers of this unit, so their sums don't depend on the order.
+UNIT = 1_000_000
+#: A word is familiar if documents with at least this share of all weight have it.
+FAMILIAR = 0.10
+#: Sentence lengths are ranked in steps of half a word up to this many steps.
+STEPS = 800
 #: Familiar words are broadcast as a list; a word that holds FAMILIAR of documents with at most so many distinct words each bounds it.
 MAX_LIST = 200_000
 LEVELS = (1, 2, 3, 4)
@@ -86,19 +90,21 @@ def profiles(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def familiar_words(prof: DataFrame) -> DataFrame:
-    """(lang, word): words that at least FAMILIAR of the plainest documents of a language have.
+    """(lang, word): the words of highest document frequency in each language, over all its documents.
 
-    Plain are the documents up to the PLAIN quantile of sentence length, from a histogram over all documents in steps of half a word.
+    Each document counts with (1 - q) ** PLAINER, q being the share of the language's documents with shorter sentences, from a histogram over all documents
+    in steps of half a word. Unweighted frequencies don't tell plain words from hard ones where most documents are hard.
     """
-    read = prof.where(F.col("length") > 0).withColumn("step", F.floor(F.col("length") * 2))
+    read = prof.where(F.col("length") > 0).withColumn("step", F.least(F.floor(F.col("length") * 2), F.lit(STEPS)))
     steps = read.groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n"))
     w = W.partitionBy("lang")
-    below = steps.withColumns({"upto": F.sum("n").over(w.orderBy("step")) - F.col("n"), "all": F.sum("n").over(w)})
-    plain_steps = below.where(F.col("upto") < F.col("all") * PLAIN)
-    size = plain_steps.groupBy("lang").agg(F.sum("n").alias("size"))
-    plain = read.join(F.broadcast(plain_steps.select("lang", "step")), ["lang", "step"], "left_semi")
-    df = plain.select("lang", F.explode("vocabulary").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("df"))
-    return df.join(F.broadcast(size), "lang").where(F.col("df") >= F.col("size") * FAMILIAR).select("lang", "word")
+    ranked = steps.withColumns({"below": F.sum("n").over(w.orderBy("step")) - F.col("n"), "all": F.sum("n").over(w)})
+    weight = F.round(F.pow(1 - F.col("below") / F.col("all"), F.lit(PLAINER)) * UNIT).cast("long")
+    weights = ranked.select("lang", "step", "n", weight.alias("weight"))
+    total = weights.groupBy("lang").agg(F.sum(F.col("weight") * F.col("n")).alias("total"))
+    counted = read.join(F.broadcast(weights.where("weight > 0").drop("n")), ["lang", "step"]).select("lang", "weight", F.explode("vocabulary").alias("word"))
+    df = counted.groupBy("lang", "word").agg(F.sum("weight").alias("df"))
+    return df.join(F.broadcast(total), "lang").where(F.col("df") >= F.col("total") * FAMILIAR).select("lang", "word")
 
 
 def features(prof: DataFrame, familiar: dict[str, set[str]]) -> DataFrame:
@@ -139,7 +145,9 @@ def fitted(feats: DataFrame, labels: DataFrame) -> tuple[list[float], list[float
     a = np.array([[sums[f"{p}_{q}"] for q in names] for p in names])
     weights = np.linalg.lstsq(a, np.array([sums[f"{p}_y"] for p in names]), rcond=None)[0].tolist()
     step = 0.01
-    rows = both.groupBy(F.floor(_score(weights) / step).alias("at"), F.col("y").cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).where(F.col("at").between(-500, 1500)).collect()
+    # Scores beyond the ends, far from any cut between levels 1 and 4, count in the first and the last bin.
+    bin_ = F.greatest(F.least(F.floor(_score(weights) / step), F.lit(1500)), F.lit(-500))
+    rows = both.groupBy(bin_.alias("at"), F.col("y").cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()
     at, y, n = (np.array([r[k] for r in rows], np.int64) for k in ("at", "y", "n"))
     edges = np.arange(-500, 1502)
     cuts = []
@@ -159,8 +167,8 @@ def _score(weights: list[float]) -> Column:
 def reading_levels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, level, score, length, unfamiliar) of every document with a non-empty text.
 
-    The text is read once; its profile, a few bytes a word, is kept in the shared folder, and document frequencies, shares and
-    the fit to the labels all come from it. Texts without words in their prose get level 1. A repeated document comes out once per row.
+    The text is read once; its profile, a few bytes a word, is kept in the shared folder until document frequencies and shares have come from it.
+    The fit uses the shares of labelled documents. Texts without words in their prose get level 1. A repeated document comes out once per row.
     """
     prof = written(profiles(docs, key, text), "profiles")
     words: dict[str, set[str]] = {}
@@ -170,6 +178,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     for lang, word in listed:
         words.setdefault(lang, set()).add(word)
     feats = written(features(prof, words), "features")
+    release(prof)
     weights, cuts = fitted(feats, labels)
     s = feats.withColumn("score", _score(weights))
     level = sum((F.when(F.col("score") >= c, 1).otherwise(0) for c in cuts), F.lit(1))
