@@ -135,7 +135,7 @@ def passing(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """(item words covered, score) of the best-scoring stretch that is long and dense enough; (0, 0) if there is none.
 
     The best local alignment may bridge a gap and then be too thin, or be too short, where another stretch passes. So every beginning is
-    followed by itself. A stretch is only looked at where no piece at either end costs as much as it scores, so that foreign
+    followed by itself. A stretch ends where its score rises above all before: no piece at either end may cost as much as it scores, so that foreign
     words around a short echo don't lengthen it. It can begin with the first word of a run of two or more, or of any run in a short item.
     """
     size, least = len(item), least_held(len(item))
@@ -159,11 +159,12 @@ def passing(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
             now = np.maximum(now, rows - one)
             now = np.maximum.accumulate(now + steps, axis=1) - steps
             now[now < one] = 0
-            now -= (now >> 32) > low - (now & low)
+            more = (now >> 32) > low - (now & low)
+            now -= more
             alive = now.any(axis=1)
-            begun, rows = begun[alive], now[alive]
+            begun, rows, more = begun[alive], now[alive], more[alive]
             held = i - begun + 1
-            score = np.where(rows >> 32 == low - (rows & low), rows >> 32, 0).max(axis=1, initial=0)
+            score = np.where(more, rows >> 32, 0).max(axis=1, initial=0)
             for k in np.flatnonzero((held >= least) & (score >= DENSITY * held)):
                 best = max(best, (int(score[k]), int(held[k])))
         if heads[i].any():
