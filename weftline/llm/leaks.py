@@ -157,16 +157,16 @@ def passing(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
             came[:, 1:] = rows[:, :-1]
             now = np.where(came >= one, came + np.where(equal[i], one, -one), 0)
             now = np.maximum(now, rows - one)
-            now = np.maximum.accumulate(now + steps, axis=1) - steps
-            now[now < one] = 0
             more = (now >> 32) > low - (now & low)
             now -= more
-            alive = now.any(axis=1)
-            begun, rows, more = begun[alive], now[alive], more[alive]
             held = i - begun + 1
-            score = np.where(more, rows >> 32, 0).max(axis=1, initial=0)
+            score = np.where(more, now >> 32, 0).max(axis=1, initial=0)
             for k in np.flatnonzero((held >= least) & (score >= DENSITY * held)):
                 best = max(best, (int(score[k]), int(held[k])))
+            now = np.maximum.accumulate(now + steps, axis=1) - steps
+            now[now < one] = 0
+            alive = now.any(axis=1)
+            begun, rows = begun[alive], now[alive]
         if heads[i].any():
             begun = np.append(begun, i)
             rows = np.vstack([rows, np.where(heads[i], one + low - 1, 0)])
