@@ -12,7 +12,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftline.functions import paths, text
-from weftline.operators import diff, merge, provenance, tree
+from weftline.functions.paths import matching_prefixes
+from weftline.operators import diff, lookup, merge, provenance, tree
 from weftline.shared import scratch_path
 from weftline.sources import adapters, compile_db, store
 from weftline.streaming import fixpoint as fx
@@ -116,6 +117,54 @@ def test_store_versions_and_transactions(spark):
     assert s.dump() == []
 
 
+def test_transactions_that_overlap(spark):
+    base = scratch_path(spark, "store")
+    one, two = store.Store(spark, base), store.Store(spark, base)
+    one.create()
+    row = lambda i: spark.createDataFrame([(i, str(i))], store.SCHEMAS["transformations"])
+    with pytest.raises(RuntimeError, match="first"), one:
+        one.write("transformations", row(1))
+        with two:
+            assert two.read("transformations").count() == 0
+            two.write("transformations", row(2))
+        assert two.read("transformations").first().id == 2
+        assert one.read("transformations").first().id == 1, "a transaction sees its own writes"
+        assert one.read("files").count() == 0
+    assert one.read("transformations").first().id == 2, "the later one is refused and nothing is lost"
+    with pytest.raises(RuntimeError, match="open"), one, one:
+        pass
+
+
+def test_added_edits_have_ids_of_their_own(spark):
+    kind = "id long, file_id long, text string"
+    edits = spark.createDataFrame([(5, 1, "a"), (9, 1, "b")], kind)
+    new = spark.createDataFrame([(2, "x"), (1, "z"), (1, "a"), (1, "a"), (None, "n")], "file_id long, text string")
+    got = sorted(store.edit_add(edits, new, ["file_id", "text"]).select("id", "file_id", "text").collect())
+    assert got == [(10, None, "n"), (11, 1, "a"), (12, 1, "a"), (13, 1, "z"), (14, 2, "x")]
+    assert [r.id for r in store.edit_add(edits.limit(0), new.limit(1), ["file_id"]).collect()] == [1]
+
+
+def test_relations_lines_and_ignored_errors(spark):
+    files = spark.createDataFrame([(1, "a"), (2, "b"), (7, "b"), (3, None)], "id long, path string")
+    old = spark.createDataFrame([(1, 7, 50)], "file_id long, dep_id long, ts long")
+    new = spark.createDataFrame([("a", "b", 60), ("a", "gone", 5), ("a", "gone", 4), (None, "a", 1)], "path string, dep_path string, ts long")
+    assert sorted(map(tuple, store.add_relations(old, new, files).collect())) == [(-1, 1, 1), (1, -1, 4), (1, 7, 50)]
+    lines = spark.createDataFrame([(1, 1, 1, 1), (2, 1, 2, 2), (3, 1, 3, 3)], store.SCHEMAS["lines"])
+    moved = spark.createDataFrame([(1, 2), (9, 5), (1, 2)], "id long, line int")
+    assert sorted((r.id, r.line) for r in store.renumber_lines(lines, moved).collect()) == [(1, 2), (3, 3)]
+    bridge = spark.createDataFrame([(2, 100), (3, 101)], store.SCHEMAS["lines_replacements"])
+    fresh = spark.createDataFrame([(20, 1, 2, 9, 200)], "id long, file_id long, line int, original_line int, replacement_id long")
+    after, tied = store.upsert_lines_with_bridge(lines, bridge, fresh)
+    assert sorted(r.id for r in after.collect()) == [1, 3, 20] and sorted(map(tuple, tied.collect())) == [(3, 101), (20, 200)]
+
+    def fail():
+        raise KeyError("x")
+
+    assert store.tried(lambda: None) and store.tried(fail, (KeyError,))
+    with pytest.raises(KeyError):
+        store.tried(fail, (ValueError,))
+
+
 def test_writes(spark):
     old = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "k long, seq long, v string")
     new = spark.createDataFrame([(2, 5, "c"), (2, 6, "d"), (3, 7, "e"), (3, 8, "f")], "k long, seq long, v string")
@@ -206,6 +255,47 @@ def test_tree(spark):
     assert {(r.id, r.root, r.steps) for r in tree.chain_walk(nodes, x).collect()} == {("b", "a", 1), ("d", "a", 3)}
 
 
+def test_tree_of_many_levels(spark):
+    chain = [(f"n{i}", f"n{i - 1}" if i else None, "x" if i == 150 else "y", f"N{i}") for i in range(300)] + [("lone", "absent", "x", "L")]
+    nodes = spark.createDataFrame(chain, "id string, parent string, kind string, name string")
+    x = tree.kind("x")
+    assert tree.has_descendant(x)(nodes).count() == 150 and tree.has_ancestor(x)(nodes).count() == 149
+    walk = {r.id: (r.root, r.steps) for r in tree.chain_walk(nodes, tree.kind("y", "name = 'N299'")).collect()}
+    assert walk == {"n299": ("n0", 299)}
+    assert [(r.ancestor, r.depth) for r in tree.nearest_ancestor(nodes, tree.kind("y", "name = 'N299'"), "x").collect()] == [("n150", 149)]
+    loop = spark.createDataFrame([("a", "c", "x", ""), ("b", "a", "y", ""), ("c", "b", "y", "")], nodes.schema)
+    with pytest.raises(ValueError, match="cycle"):
+        tree.has_descendant(x)(loop)
+    assert tree.has_descendant(x)(nodes.limit(0)).count() == 0
+
+
+def test_chains_with_arguments_put_in(spark):
+    links = spark.createDataFrame([("a", "b", ["1", "$2"]), ("b", "c", ["$2", "$1", "x$1", "$9"]), ("e", "gone", [])], "id string, target string, arguments array<string>")
+    got = {r.id: (r.target, r.arguments, r.steps) for r in tree.substituted_chain(links, spark.createDataFrame([("a",), ("b",), ("c",), ("e",)], "id string")).collect()}
+    assert got == {"a": ("c", ["$2", "1", "x$1", "$9"], 2), "b": ("c", ["$2", "$1", "x$1", "$9"], 1), "c": ("c", None, 0), "e": ("gone", [], 1)}
+
+
+def test_selection_and_versions():
+    r = fx.Registry()
+    for name, priority, versions in (("a", 1, {"clang": "3.6"}), ("b", 9, {"clang": "3.10", "gcc": "4"}), ("c", 9, {})):
+        r.add(fx.Transform(name, priority, lambda q: (q, q), versions))
+    names = lambda *x: [t.name for t in r.selected(*x)]
+    assert names() == ["b", "c", "a"] and names(["a"]) == ["a"]
+    assert names(None, {"clang": "3.6"}) == ["b", "c"] and names(["a"], {"clang": "3.7"}) == [] and names(None, {"clang": "3.10"}) == ["c"]
+    assert names(None, {"icc": "15"}) == ["b", "c", "a"] and names(None, {"clang": "x"}) == ["b", "c", "a"]
+    with pytest.raises(ValueError, match="unknown"):
+        r.selected(["z"])
+
+
+def test_a_pass_that_comes_back_is_an_error(spark):
+    r = fx.Registry()
+    r.add(fx.Transform("t", 1, lambda q: (q.withColumn("edit", F.lit("x")), q.select(F.lit("t").alias("transform"), "path"))))
+    with pytest.raises(RuntimeError, match="comes back"):
+        fx.run_to_fixpoint(r, spark.createDataFrame([("t", "p")], "transform string, path string"))
+    results = spark.createDataFrame([("a", True), ("a", False), ("b", True), ("c", None)], "path string, passed boolean")
+    assert sorted(map(tuple, fx.failed_paths(results).collect())) == [("a", 1), ("c", 1)]
+
+
 def test_fixpoint(spark):
     none = spark.createDataFrame([], "path string, edit string")
     r = fx.Registry()
@@ -218,17 +308,94 @@ def test_fixpoint(spark):
 
 
 def test_commands_and_sinks(spark, tmp_path):
-    (tmp_path / "p").mkdir()
-    (tmp_path / "p" / "compile_commands.json").write_text(json.dumps([{"directory": "d", "command": "cc a.c", "file": "a.c"}]))
-    read = compile_db.read_commands(spark, [str(tmp_path / "none"), str(tmp_path / "p")])
-    assert tuple(read.first()) == ("d", "cc a.c", "a.c")
-    fixed = compile_db.read_commands(spark, [str(tmp_path / "none")], spark.createDataFrame([("b.c",)], "path string"))
-    assert tuple(fixed.first()) == (".", "-std=c++11", "b.c")
-    lines = spark.createDataFrame([(2, "b"), (1, "a")], "line int, text string")
-    compile_db.write_text(lines, str(tmp_path / "out"), "elsewhere")
-    assert [r[0] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["a", "b"]
-    with pytest.raises(ValueError, match="source"):
-        compile_db.write_text(lines, "same", "same/")
+    (tmp_path / "p" / "sub").mkdir(parents=True)
+    mine = str(tmp_path / "p" / "sub" / "a.c")
+    (tmp_path / "p" / "compile_commands.json").write_text(json.dumps([{"directory": "d", "command": "cc a.c", "file": mine}]))
+    assert tuple(compile_db.read_commands(spark, str(tmp_path / "p")).first()) == ("d", "cc a.c", mine)
+    assert tuple(compile_db.read_commands(spark, sources=[mine, "b.c"]).first()) == ("d", "cc a.c", mine)
+    other = str(tmp_path / "p" / "other.c")
+    assert [tuple(r) for r in compile_db.read_commands(spark, sources=[other, other]).collect()] == [(".", "-std=c++11", other)], "a database without the first source is another's"
+    with pytest.raises(FileNotFoundError):
+        compile_db.read_commands(spark, str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        compile_db.read_commands(spark)
+    texts = spark.createDataFrame([("/src/x/a.c", "one\ntwo"), ("/src/b.c", None)], "path string, text string")
+    moved = compile_db.staged(texts, "/src/", "/dst/")
+    assert sorted(r.path for r in moved.collect()) == ["/dst/b.c", "/dst/x/a.c"]
+    for root, dest in (("/src/", "/src/y/"), ("/src/", "/dst")):
+        with pytest.raises(ValueError):
+            compile_db.staged(texts, root, dest)
+    with pytest.raises(Exception, match="not below"):
+        compile_db.staged(texts, "/src/x/", "/dst/").collect()
+    kept = tmp_path / "kept"
+    (tmp_path / "out" / "x").mkdir(parents=True)
+    kept.write_text("linked")
+    (tmp_path / "out" / "x" / "a.c").hardlink_to(kept)
+    assert compile_db.write_texts(spark.createDataFrame([("x/a.c", "one\ntwo"), ("b.c", None)], "path string, text string"), str(tmp_path / "out")) == 2
+    assert (tmp_path / "out" / "x" / "a.c").read_text() == "one\ntwo" and kept.read_text() == "linked" and (tmp_path / "out" / "b.c").read_text() == ""
+    with pytest.raises(Exception, match="leaves the folder"):
+        compile_db.write_texts(spark.createDataFrame([("../c", "x")], "path string, text string"), str(tmp_path / "out"))
+    compile_db.write_edits(spark.createDataFrame([("a", 1)], "path string, start int"), str(tmp_path / "edits"))
+    with pytest.raises(Exception, match="(?i)exist"):
+        compile_db.write_edits(spark.createDataFrame([("a", 1)], "path string, start int"), str(tmp_path / "edits"))
+    compile_db.write_timings(spark, {"b": 2.0, "a": 1.0}, str(tmp_path / "perf"))
+    assert {r.source: r.seconds for r in spark.read.json(str(tmp_path / "perf")).collect()} == {"a": 1.0, "b": 2.0}
+
+
+def test_selection_of_nothing_is_an_error(spark):
+    paths = spark.createDataFrame([("/a/x.c",), ("/b/y.c",)], "path string")
+    chosen = lambda *a: sorted(r[0] for r in compile_db.select_sources(*a).collect())
+    assert chosen(paths, paths, [], ["/b/"]) == ["/a/x.c"] and chosen(None, paths, ["/b/"], []) == ["/b/y.c"] and chosen(paths.limit(0), paths, ["/"], []) == ["/a/x.c", "/b/y.c"]
+    for args in ((None, paths, [], []), (paths, paths, [], ["/"]), (None, paths, ["/z/"], [])):
+        with pytest.raises(ValueError):
+            compile_db.select_sources(*args)
+
+
+def test_lists_in_parts(spark):
+    ids = [1, 2, (1 << 20) - 1, 1 << 20, (1 << 21) + 5]
+    commands = spark.createDataFrame([("a", i) for i in [*ids, 1, None]] + [(None, 7)], "file string, id long")
+    got = {(r.file, r.part): (r.n_commands, r.ids) for r in compile_db.commands_of(spark.createDataFrame([("a",), ("b",), ("a",)], "file string"), commands).collect()}
+    assert got == {("a", 0): (3, "1,2,1048575"), ("a", 1): (1, "1048576"), ("a", 2): (1, "2097157"), ("b", 0): (0, "")}
+
+
+def test_chunks_and_numbers(spark):
+    assert [merge.chunk_size(*x) for x in ((15, 2, 8), (16, 2, 8), (3, 5, 8), (100, 40, 3), (0, 4, 2))] == [1, 2, 1, 33, 1]
+    df = spark.createDataFrame([(i * 7 % 1000,) for i in range(1000)] + [(None,)], "k long")
+    got = sorted((r.k if r.k is not None else -1, r.chunk) for r in merge.chunk_groups(df, "k", 10, 4).collect())
+    assert [c for _, c in got] == [i // 10 for i in range(1001)]
+    assert merge.chunk_groups(df.limit(0), "k", 10, 4).count() == 0
+
+
+def test_prefixes_by_table(spark):
+    paths = spark.createDataFrame([("/a/b/c.h",), ("/a/x.h",), ("/q",), ("",), (None,)], "path string")
+    prefixes = spark.createDataFrame([("/a/", "/A/"), ("/a/b/", "/B/"), ("/a/b/", "/B/")], "prefix string, replacement string")
+    got = {r.path: (r.prefix, r.moved) for r in matching_prefixes(paths, prefixes).collect()}
+    assert got == {"/a/b/c.h": ("/a/b/", "/B/c.h"), "/a/x.h": ("/a/", "/A/x.h"), "/q": (None, None), "": (None, None), None: (None, None)}
+    with pytest.raises(Exception, match="not a folder"):
+        matching_prefixes(paths, spark.createDataFrame([("/a", "x")], "prefix string, replacement string")).collect()
+
+
+def test_words_taken_out(spark):
+    texts = ["constexpr int f() noexcept", "int noexcept_x", "a constexpr noexcept b", "", None]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(text.without_words(F.col("t"))).collect()]
+    assert got == ["int f()", "int noexcept_x", "a b", "", None]
+
+
+def test_joins_split_a_hot_key(spark):
+    """Adaptive execution splits the long partition of a join whose key holds most rows, so such joins need no salt."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rel = spark.range(200_000).select(F.col("id").alias("file_id"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000).alias("dep_id"), F.lit(1).cast("long").alias("ts"))
+        files = spark.range(5000).select("id", F.concat(F.lit("p"), "id").alias("path"))
+        d = lookup.dependency_list(rel.repartition(8), files)
+        assert len(d.collect()) == 200_000
+        assert "skew=true" in d._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 def test_replacement_goes_on_until_nothing_matches(spark):

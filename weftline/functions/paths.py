@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import trim_ws
+from weftline.operators.ordered import numbered
 
 
 def is_directory(path: Column) -> Column:
@@ -76,12 +77,38 @@ def common_prefix(df: DataFrame, path: str, by: list[str]) -> DataFrame:
 
 
 def path_order(df: DataFrame) -> DataFrame:
-    """(path, place) of distinct paths within a folder: folders after files, relative before absolute, then by text."""
-    from pyspark.sql import Window as W
+    """(path, place) of distinct paths within a folder: folders after files, relative before absolute, then by text.
 
+    All paths are numbered along folder and order, and a folder's first number is taken off, so a folder that holds most paths is many tasks' work.
+    """
     p = F.col("path")
     d = df.select("path").distinct().select("path", last_dir(p).alias("folder"), is_directory(p).alias("is_dir"), is_absolute(p).alias("is_abs"))
-    return d.select("path", F.row_number().over(W.partitionBy("folder").orderBy("is_dir", "is_abs", "path")).alias("place"))
+    n = numbered(d, [F.col(c) for c in ("folder", "is_dir", "is_abs", "path")], "number")
+    first = n.groupBy("folder").agg(F.min("number").alias("first"))
+    return n.join(first, n["folder"].eqNullSafe(first["folder"])).select("path", (F.col("number") - F.col("first") + 1).cast("int").alias("place"))
+
+
+def matching_prefixes(paths: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(path, prefix, moved) of each path for the longest prefix (prefix, replacement) that it has; paths without one come with nulls.
+
+    Each path is cut behind each of its slashes, and the beginnings are joined by equality, so neither side is held whole. Prefixes must end in a slash.
+    """
+    bad = F.raise_error(F.concat(F.lit("not a folder: "), F.coalesce("prefix", F.lit("null")))).cast("string")
+    pre = prefixes.select(F.when(F.col("prefix").endswith("/"), F.col("prefix")).otherwise(bad).alias("prefix"), "replacement").groupBy("prefix").agg(F.max("replacement").alias("replacement"))
+    d = paths.select("path").distinct()
+    at = F.filter(F.sequence(F.lit(1), F.length("path")), lambda i: F.substr("path", i, F.lit(1)) == "/")
+    begins = d.where(F.length("path") > 0).select("path", F.explode(F.transform(at, lambda i: F.substr("path", F.lit(1), i))).alias("prefix"))
+    best = begins.join(pre, "prefix").groupBy("path").agg(F.max_by(F.struct("prefix", "replacement"), F.length("prefix")).alias("x"))
+    out = d.join(best, "path", "left").select("path", F.col("x.prefix").alias("prefix"), F.col("x.replacement").alias("replacement"))
+    return out.select("path", "prefix", F.concat("replacement", F.substr("path", F.length("prefix") + 1)).alias("moved"))
+
+
+def moved_or_fail(path: Column, old: str, new: str) -> Column:
+    """A path below a folder moved to another folder; any other path is an error, as is a folder that doesn't end in a slash."""
+    if not old.endswith("/"):
+        raise ValueError(f"not a folder: {old}")
+    fail = F.raise_error(F.concat(F.lit(f"not below {old}: "), F.coalesce(path, F.lit("null")))).cast("string")
+    return F.when(path.startswith(old), F.concat(F.lit(new), F.substr(path, F.lit(len(old) + 1)))).otherwise(fail)
 
 
 def unique_sources(df: DataFrame) -> DataFrame:

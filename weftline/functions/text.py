@@ -104,6 +104,24 @@ def insert_before_first_match(text: Column, pattern: str, new: str) -> Column:
     return F.when(at > 0, F.array_insert(parts, F.greatest(at, F.lit(1)).cast("int"), F.lit(new))).otherwise(parts)
 
 
+def without_words(text: Column, *words: str) -> Column:
+    """The text without these words where they stand alone, each with the blanks around it made one; by default ``constexpr`` and ``noexcept``."""
+    for w in words or ("constexpr", "noexcept"):
+        text = F.regexp_replace(text, rf"(?:^[ \t]*|[ \t]*)\b{w}\b(?:[ \t]*\z|[ \t]*)", " ")
+    return F.regexp_replace(text, r"^ +| +\z", "")
+
+
+def line_edits(text: Column, edits: Column) -> Column:
+    """An array of edits (start, end, text) by offset as edits (start_line, replaced, inserted, text) by line, counted from 1."""
+
+    def one(e: Column) -> Column:
+        before = F.substr(text, F.lit(1), e["start"])
+        gone = F.substr(text, e["start"] + 1, e["end"] - e["start"])
+        return F.struct((newline_count(before) + 1).alias("start_line"), newline_count(gone).alias("replaced"), newline_count(e["text"]).alias("inserted"), e["text"].alias("text"))
+
+    return F.transform(edits, one)
+
+
 def edit_order(edits: DataFrame) -> DataFrame:
     """Each edit with its place within its file: by start, end, and text descending."""
     order = [F.col("start_line"), F.col("start_line") + F.col("lines_replaced"), F.desc("replacement_text"), F.col("id")]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.ordered import listed
+
 
 def lookup(probes: DataFrame, store: DataFrame, on: list[str], value: str, missing: object) -> DataFrame:
     """Each distinct probe with ``value`` from the store, or ``missing``. Of several stored values the greatest is given.
@@ -32,9 +34,12 @@ def compilation_units(units: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def load_dependencies(units: DataFrame, relations: DataFrame) -> DataFrame:
-    """(id, n_deps, deps): every unit with its sorted dependency ids; units without any keep an empty list."""
-    d = relations.groupBy(F.col("file_id").alias("id")).agg(F.array_sort(F.collect_set("dep_id")).alias("a"))
-    return units.select("id").join(d, "id", "left").select("id", F.coalesce(F.size("a"), F.lit(0)).alias("n_deps"), F.coalesce(F.array_join("a", ","), F.lit("")).alias("deps"))
+    """(id, part, n_deps, deps): every unit with its sorted dependency ids, in parts by ``listed``; units without any keep an empty list in part 0."""
+    d = listed(relations.select(F.col("file_id").alias("id"), "dep_id"), "id", "dep_id")
+    none = F.lit(0)
+    return units.select("id").join(d, "id", "left").select(
+        "id", F.coalesce("part", none.cast("long")).alias("part"), F.coalesce("n", none).alias("n_deps"), F.coalesce(F.array_join("values", ","), F.lit("")).alias("deps")
+    )
 
 
 def deps_keep_empty(units: DataFrame, relations: DataFrame, files: DataFrame) -> DataFrame:
@@ -71,6 +76,16 @@ def edits_upto_line(probes: DataFrame, edits: DataFrame, by_transform: bool = Fa
     ).select(*on, "line", "id")
 
 
+def edits_unhandled(edits: DataFrame) -> DataFrame:
+    """(id, file_id) of edits that still have to be applied; a missing flag means that."""
+    return edits.where(F.coalesce("unhandled", F.lit(True))).select("id", "file_id")
+
+
+def transforms_of_line(lines: DataFrame, bridge: DataFrame, edits: DataFrame) -> DataFrame:
+    """(file_id, line, transformation_id): the distinct transforms whose edits touched each line."""
+    return edits_of_line(lines, bridge, edits).select("file_id", "line", "transformation_id").distinct()
+
+
 def edits_of_line(lines: DataFrame, bridge: DataFrame, edits: DataFrame) -> DataFrame:
     """(file_id, line, replacement_id, transformation_id, replacement_text) through the bridge of lines and edits."""
     e = edits.select(F.col("id").alias("replacement_id"), "transformation_id", "replacement_text")

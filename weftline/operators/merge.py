@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.ordered import numbered
+
 
 def merge_counters(parts: DataFrame) -> DataFrame:
     """Per transform: rows, summed n, and whether any part set its flag."""
@@ -45,18 +47,12 @@ def min_by_key(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.min(value).alias(value))
 
 
-def chunk_groups(df: DataFrame, key: str, per_chunk: int, workers: int) -> DataFrame:
-    """(key, chunk): rows in chunks of consecutive keys within a worker's share, at most ``per_chunk`` rows each.
+def chunk_size(n_rows: int, per_chunk: int, workers: int) -> int:
+    """The greatest size of at most ``per_chunk`` that fills as many whole chunks as there are workers; 1 if none does."""
+    return max(1, min(per_chunk, n_rows // max(1, workers)))
 
-    The size shrinks until there are at least as many chunks as workers, or it is 1. Numbering is by worker share (key modulo
-    workers) and not over the whole table, so no single task orders all keys.
-    """
-    from pyspark.sql import Window as W
 
+def chunk_groups(df: DataFrame, key: str, per_chunk: int, workers: int) -> DataFrame:
+    """(key, chunk): consecutive rows of the list in order of key, chunks numbered from 0; the last may be smaller. Null keys come first."""
     n = df.count()
-    size = per_chunk
-    while size > 1 and -(-n // size) < workers:
-        size -= 1
-    share = F.pmod(F.col(key), F.lit(workers))
-    number = F.row_number().over(W.partitionBy(share).orderBy(key)) - 1
-    return df.select(key, share.alias("worker"), number.alias("number")).select(key, "worker", F.floor(F.col("number") / size).alias("chunk"))
+    return numbered(df.select(key), [F.col(key)], "number", 0).select(key, F.floor(F.col("number") / chunk_size(n, per_chunk, workers)).alias("chunk"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.shared import written
+
 #: Positions that one bucket spans.
 WIDTH = 1 << 12
 
@@ -31,3 +33,31 @@ def running(df: DataFrame, key: str, position: str, order: list[Column], values:
         here = whole[k](c).over(own)
         out[n] = F.greatest(here, F.col(f"_{n}")) if k == "max" else F.coalesce(here, F.lit(0)) + F.coalesce(F.col(f"_{n}"), F.lit(0))
     return both.select(*df.columns, *[v.alias(n) for n, v in out.items()])
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, first: int = 1) -> DataFrame:
+    """df with consecutive numbers from ``first`` along an order over all rows. Rows that are equal in it are numbered in any way.
+
+    The table is cut into ranges of the order and written, so a task that runs again finds the same rows; each range is numbered by itself, and the
+    few counts of ranges are carried along. No task orders more than its range.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = written(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = F.coalesce(F.sum("_rows").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    carried = F.broadcast(cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows")).select("_range", before.alias("_before")))
+    own = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return cut.join(carried, "_range").withColumn(name, (own + F.col("_before") + (first - 1)).cast("long")).drop("_range", "_before")
+
+
+#: Ids that one list holds at most, as a power of two.
+PART_BITS = 20
+
+
+def listed(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, part, n, values): the distinct ids of each key as sorted lists, one for each stretch of 2**PART_BITS ids, so that no list outgrows a row and a hot key has many tasks.
+
+    Ids below that are all in part 0. A null id is in no list.
+    """
+    part = F.shiftright(F.col(value).cast("long"), PART_BITS).alias("part")
+    lists = df.where(F.col(value).isNotNull()).groupBy(key, part).agg(F.array_sort(F.collect_set(value)).alias("values"))
+    return lists.select(key, "part", F.size("values").alias("n"), "values")

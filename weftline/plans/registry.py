@@ -12,6 +12,18 @@ from weftline.sources.adapters import VIEWS
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _bodies(views: str) -> list[tuple[str, str]]:
+    """(name, body) of each common table expression in a list of them."""
+    out = []
+    for m in re.finditer(r"(\w+) AS \(", views):
+        depth, at = 1, m.end()
+        while depth and at < len(views):
+            depth += {"(": 1, ")": -1}.get(views[at], 0)
+            at += 1
+        out.append((m[1], views[m.end() : at - 1]))
+    return out
+
+
 def with_views(sql: str, views: str = "") -> str:
     """The SQL with the common views that it or ``views``, a list of further common table expressions, names in front; recursive only where needed."""
     used: set[str] = set()
@@ -22,7 +34,7 @@ def with_views(sql: str, views: str = "") -> str:
         used |= new
         todo += [VIEWS[n] for n in new]
     parts = [f"{n} AS ({v})" for n, v in VIEWS.items() if n in used] + ([views] if views else [])
-    own = re.search(r"(\w+) AS \((?:[^()]|\([^()]*\))*UNION(?: ALL)? SELECT[^()]*\b(?:FROM|JOIN) \1\b", views)
+    own = any(re.search(rf"\b(?:FROM|JOIN) {n}\b", body) for n, body in _bodies(views))
     return (f"WITH {'RECURSIVE ' if own else ''}" + ", ".join(parts) + " " if parts else "") + sql
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import diff, lookup, merge, provenance
@@ -132,7 +132,7 @@ def edits_upto_line_by_transform(s: S, d: str) -> DataFrame:
 
 @book("SELECT id, file_id FROM edit WHERE unhandled")
 def edits_unhandled(s: S, d: str) -> DataFrame:
-    return a.edits(s, d).where("unhandled").select("id", "file_id")
+    return lookup.edits_unhandled(a.edits(s, d))
 
 
 @book("SELECT l.file_id, l.line, e.id AS replacement_id, e.transformation_id, e.replacement_text FROM lines l JOIN bridge b ON b.line_id = l.id JOIN edit e ON e.id = b.replacement_id")
@@ -142,7 +142,7 @@ def edits_of_line(s: S, d: str) -> DataFrame:
 
 @book("SELECT DISTINCT l.file_id, l.line, e.transformation_id FROM lines l JOIN bridge b ON b.line_id = l.id JOIN edit e ON e.id = b.replacement_id")
 def transforms_of_line(s: S, d: str) -> DataFrame:
-    return edits_of_line(s, d).select("file_id", "line", "transformation_id").distinct()
+    return lookup.transforms_of_line(a.lines(s, d), a.line_edits(s, d), a.edits(s, d))
 
 
 @book("SELECT DISTINCT file_id, start_line, lines_replaced, replacement_text FROM edit")
@@ -168,7 +168,7 @@ def compilation_units(s: S, d: str) -> DataFrame:
     return lookup.compilation_units(a.units(s, d), a.files(s, d))
 
 
-@book("SELECT c.id, CAST(count(r.dep_id) AS INT) AS n_deps, coalesce(string_agg(r.dep_id, ',' ORDER BY r.dep_id), '') AS deps FROM cu c LEFT JOIN rel r ON r.file_id = c.id GROUP BY c.id")
+@book("SELECT c.id, coalesce(r.dep_id >> 20, 0) AS part, CAST(count(r.dep_id) AS INT) AS n_deps, coalesce(string_agg(r.dep_id, ',' ORDER BY r.dep_id), '') AS deps FROM cu c LEFT JOIN rel r ON r.file_id = c.id GROUP BY 1, 2")
 def load_dependencies(s: S, d: str) -> DataFrame:
     return lookup.load_dependencies(a.units(s, d), a.relations(s, d))
 
@@ -282,9 +282,10 @@ def merge_dependencies(s: S, d: str) -> DataFrame:
     return merge.first_wins(table(s, d, "relations"), ["file_id", "dep_id"], "seen_at", ["dependency_timestamp"])
 
 
-@book("SELECT o_orderkey, o_orderkey % 8 AS worker, (row_number() OVER (PARTITION BY o_orderkey % 8 ORDER BY o_orderkey) - 1) // 2 AS chunk FROM orders")
+@book("""SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // least(40, greatest(1, (SELECT count(*) FROM orders) // 997)) AS chunk FROM orders""")
 def chunk_groups(s: S, d: str) -> DataFrame:
-    return merge.chunk_groups(table(s, d, "orders"), "o_orderkey", 2, 8)
+    """Chunks of up to 40 for 997 workers: at most sizes of the table fewer, so that each worker has one."""
+    return merge.chunk_groups(table(s, d, "orders"), "o_orderkey", 40, 997)
 
 
 # Writes.
@@ -303,11 +304,38 @@ def insert_ignore(s: S, d: str) -> DataFrame:
     return store.insert_ignore(a.relations(s, d, "old"), a.relations(s, d, "now"), ["file_id", "dep_id"], "ts")
 
 
-@book("SELECT path, CAST(min(id) AS BIGINT) AS id FROM file GROUP BY path")
+@book(
+    """SELECT path, id, false AS refused FROM stored UNION ALL
+SELECT path, id, path IN (SELECT path FROM stored) OR row_number() OVER (PARTITION BY path ORDER BY id) > 1 FROM file WHERE id % 2 = 1""",
+    "stored AS (SELECT path, min(id) AS id FROM file WHERE id % 2 = 0 GROUP BY 1)",
+)
 def insert_files(s: S, d: str) -> DataFrame:
+    """Files with odd ids put into a store of those with even ones, and what is refused, as its path is stored or comes twice."""
     f = a.files(s, d).select("path", "id")
-    taken, _ = store.insert_checked(f.where(F.lit(False)), f, ["path"])
-    return taken
+    stored = f.where("id % 2 = 0").groupBy("path").agg(F.min("id").alias("id"))
+    after, refused = store.insert_checked(stored, f.where("id % 2 = 1"), ["path"])
+    return after.withColumn("refused", F.lit(False)).unionByName(refused.withColumn("refused", F.lit(True)))
+
+
+@book(
+    """SELECT file_id, dep_id, ts FROM rel_old UNION ALL SELECT file_id, dep_id, min(ts) AS ts FROM named n
+WHERE NOT EXISTS (SELECT 1 FROM rel_old o WHERE o.file_id = n.file_id AND o.dep_id = n.dep_id) GROUP BY 1, 2""",
+    """ids AS (SELECT path, max(id) AS id FROM file GROUP BY 1),
+named AS (SELECT coalesce(x.id, -1) AS file_id, coalesce(y.id, -1) AS dep_id, n.ts FROM rel_now n LEFT JOIN file f ON f.id = n.file_id LEFT JOIN file g ON g.id = n.dep_id
+  LEFT JOIN ids x ON x.path = f.path LEFT JOIN ids y ON y.path = g.path)""",
+)
+def add_relations(s: S, d: str) -> DataFrame:
+    """The last run's relations added by path; those of units or dependencies without a file get -1."""
+    f = a.files(s, d)
+    named = a.relations(s, d, "now").join(f.select(F.col("id").alias("file_id"), "path"), "file_id", "left").join(f.select(F.col("id").alias("dep_id"), F.col("path").alias("dep_path")), "dep_id", "left")
+    return store.add_relations(a.relations(s, d, "old"), named.select("path", "dep_path", "ts"), f)
+
+
+@book("SELECT id, file_id, line, original_line FROM (SELECT *, row_number() OVER (PARTITION BY file_id, line ORDER BY moved DESC, id DESC) AS k FROM m2) WHERE k = 1",
+      "m2 AS (SELECT id, file_id, CASE WHEN id % 3 = 0 THEN line + 1 ELSE line END AS line, original_line, id % 3 = 0 AS moved FROM lines)")
+def renumber_lines(s: S, d: str) -> DataFrame:
+    lines = a.lines(s, d)
+    return store.renumber_lines(lines, lines.where("id % 3 = 0").select("id", (F.col("line") + 1).alias("line")))
 
 
 @book("SELECT r.file_id, r.dep_id, coalesce(n.ts, r.ts) AS ts FROM rel_old r LEFT JOIN rel_now n USING (file_id, dep_id)")
@@ -332,11 +360,12 @@ def remove_dependency(s: S, d: str) -> DataFrame:
     return store.delete_by_key(a.relations(s, d, "old"), a.relations(s, d, "now"), ["file_id", "dep_id"])
 
 
-@book("SELECT file_id, start_line, lines_replaced, lines_in_replacement, replacement_text, true AS above FROM replacements GROUP BY ALL")
+@book("""SELECT file_id, start_line, lines_replaced, lines_in_replacement, replacement_text, (SELECT max(id) FROM replacements) + row_number() OVER (
+ORDER BY file_id NULLS FIRST, start_line NULLS FIRST, lines_replaced NULLS FIRST, lines_in_replacement NULLS FIRST, replacement_text NULLS FIRST) AS id FROM replacements""")
 def edit_add(s: S, d: str) -> DataFrame:
+    """Every stored edit added once more: each gets an id of its own above the stored ones, in order of the key."""
     e = table(s, d, "replacements")
-    top = e.agg(F.max("id")).first()[0]
-    return store.edit_add(e, e.drop("id"), lookup.EDIT_KEY).select(*lookup.EDIT_KEY, (F.col("id") > top).alias("above"))
+    return store.edit_add(e, e.drop("id"), lookup.EDIT_KEY).select(*lookup.EDIT_KEY, "id")
 
 
 # Line provenance.
@@ -426,9 +455,10 @@ _IN = "(" + " OR ".join(f"starts_with(path, '{p}')" for p in _INCLUDE) + ")"
 _OUT = "(" + " OR ".join(f"starts_with(path, '{p}')" for p in _EXCLUDE) + ")"
 
 
-@book("SELECT file, count(*) AS n_commands, string_agg(id, ',' ORDER BY id) AS ids FROM compile_commands GROUP BY 1")
+@book("SELECT f.path AS file, coalesce(c.id >> 20, 0) AS part, CAST(count(c.id) AS INT) AS n_commands, coalesce(string_agg(c.id, ',' ORDER BY c.id), '') AS ids FROM (SELECT DISTINCT path FROM file) f LEFT JOIN compile_commands c ON c.file = f.path GROUP BY 1, 2")
 def commands_by_file(s: S, d: str) -> DataFrame:
-    return compile_db.commands_by_file(table(s, d, "compile_commands"))
+    """The commands of every file of the store, many of which have none."""
+    return compile_db.commands_of(a.files(s, d).select(F.col("path").alias("file")), table(s, d, "compile_commands"))
 
 
 @book("SELECT DISTINCT path, id FROM (SELECT id, unnest(args) AS path FROM cmd) WHERE path IN (SELECT path FROM file)")
@@ -454,40 +484,36 @@ def include_exclude(s: S, d: str) -> DataFrame:
 
 @book(f"SELECT DISTINCT file AS path FROM (SELECT file, file AS path FROM compile_commands) WHERE NOT {_OUT}")
 def select_sources(s: S, d: str) -> DataFrame:
+    """Given sources win over the database."""
     given = table(s, d, "compile_commands").select(F.col("file").alias("path"))
     return compile_db.select_sources(given, table(s, d, "files"), _INCLUDE, _EXCLUDE)
 
 
+@book(f"SELECT DISTINCT path FROM files WHERE {_IN} AND NOT {_OUT}")
+def select_included(s: S, d: str) -> DataFrame:
+    """No source is given, so the database's included files are taken."""
+    return compile_db.select_sources(None, table(s, d, "files"), _INCLUDE, _EXCLUDE)
+
+
 @book("SELECT id, path FROM files WHERE regexp_matches(path, '\\.(cpp|c|cxx|cc)$')")
 def source_ext_filter(s: S, d: str) -> DataFrame:
-    return table(s, d, "files").where(F.col("path").rlike(r"\.(cpp|c|cxx|cc)\z")).select("id", "path")
+    return compile_db.source_files(table(s, d, "files")).select("id", "path")
 
 
 _MOD = f"""mods AS (SELECT r.file_id, r.dep_id, CASE WHEN r.dep_id = r.file_id THEN true WHEN f.path IS NULL THEN false ELSE ({_IN} AND NOT {_OUT}) END AS modifiable
 FROM rel r LEFT JOIN file f ON f.id = r.dep_id)"""
 
 
-def _modifiable(main: Column, path: Column) -> Column:
-    inside = compile_db.starts_with_any(path, _INCLUDE) & ~compile_db.starts_with_any(path, _EXCLUDE)
-    return F.when(main, True).when(path.isNull(), False).otherwise(inside)
-
-
 @book("SELECT * FROM mods", _MOD)
 def is_modifiable(s: S, d: str) -> DataFrame:
-    f = a.files(s, d).select(F.col("id").alias("dep_id"), "path")
-    r = a.relations(s, d).join(f, "dep_id", "left")
-    return r.select("file_id", "dep_id", _modifiable(F.col("dep_id") == F.col("file_id"), F.col("path")).alias("modifiable"))
+    return compile_db.is_modifiable(a.relations(s, d), a.files(s, d), _INCLUDE, _EXCLUDE)
 
 
 @book(f"""SELECT e.id, e.start_line >= 1 AND e.lines_replaced >= 0 AND e.comes_from_file_id = e.file_id
   AND CASE WHEN c.id IS NOT NULL THEN true WHEN f.path IS NULL THEN false ELSE {_IN} AND NOT {_OUT} END AS valid
 FROM edit e LEFT JOIN file f ON f.id = e.file_id LEFT JOIN cu c ON c.id = e.file_id""")
 def edit_guard(s: S, d: str) -> DataFrame:
-    f = a.files(s, d).select(F.col("id").alias("file_id"), "path")
-    c = a.units(s, d).select(F.col("id").alias("file_id"), F.lit(True).alias("main"))
-    e = a.edits(s, d).join(f, "file_id", "left").join(c, "file_id", "left")
-    whole = (F.col("start_line") >= 1) & (F.col("lines_replaced") >= 0) & (F.col("comes_from_file_id") == F.col("file_id"))
-    return e.select("id", (whole & _modifiable(F.coalesce("main", F.lit(False)), F.col("path"))).alias("valid"))
+    return compile_db.edit_guard(a.edits(s, d), a.files(s, d), a.units(s, d), _INCLUDE, _EXCLUDE)
 
 
 QUERIES, SQL = book.queries, book.sql

@@ -7,6 +7,7 @@ machine, as in tests, a folder of this machine is made and set; on a cluster an
 from __future__ import annotations
 
 import atexit
+import json
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,6 +37,39 @@ def hadoop_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def publish_json(spark: SparkSession, folder: str, number: int, content: dict) -> None:
+    """Makes a numbered file visible in one step, whole or not at all; fails if the number is taken."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    to = jvm.org.apache.hadoop.fs.Path(f"{folder}/{number:012d}.json")
+    fs = to.getFileSystem(conf)
+    fs.mkdirs(to.getParent())
+    part = jvm.org.apache.hadoop.fs.Path(f"{folder}/.{uuid.uuid4().hex}.part")
+    out = fs.create(part, False)
+    try:
+        out.write(bytearray(json.dumps(content), "utf8"))
+    finally:
+        out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.NONE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), conf).rename(part, to, how)
+
+
+def last_json(spark: SparkSession, folder: str) -> tuple[int, dict | None]:
+    """(number, content) of the file that was published with the greatest number; (0, None) if there is none."""
+    fs, p = hadoop_path(spark, folder)
+    names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+    done = [int(n.split(".")[0]) for n in names if n.endswith(".json") and n[0] != "."]
+    if not done:
+        return 0, None
+    stream = fs.open(hadoop_path(spark, f"{folder}/{max(done):012d}.json")[1])
+    try:
+        return max(done), json.loads(bytes(stream.readAllBytes()).decode("utf8"))
+    finally:
+        stream.close()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder."""
     fs, p = hadoop_path(spark, path)

@@ -1,4 +1,7 @@
-"""Hot keys: candidates from every input split, salts, and joins that a hot key doesn't hold up."""
+"""Hot keys: candidates from every input split, and salts.
+
+Plain joins need none of this: adaptive execution splits a long partition of a join. Salts are for windows and groups, which it can't split.
+"""
 
 from __future__ import annotations
 
@@ -93,17 +96,3 @@ def with_salt(df: DataFrame, hot: DataFrame, key: str, *by: str) -> DataFrame:
 def all_salts(df: DataFrame, hot: DataFrame, key: str) -> DataFrame:
     """df with a row for each salt of its key: the other side of a salted merge."""
     return df.join(hinted(hot), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), (F.coalesce("salts", F.lit(1)) - 1).cast("int")))).drop("salts")
-
-
-def join_salted(many: DataFrame, one: DataFrame, key: str, how: str = "inner", rows_per_split: int = 1_000_000) -> DataFrame:
-    """many joined with one (a few rows per key) by key, the rows of a hot key of ``many`` spread by salt. Null keys match nothing.
-
-    With ``how`` left, rows of ``many`` without a match stay, those with a null key too; these are spread by their other columns.
-    """
-    hot = hot_keys(many, key, rows_per_split)
-    rest = [c for c in many.columns if c != key] or [key]
-    left = many.join(hinted(hot), key, "left")
-    spread = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*rest), F.lit(1 << 16))).otherwise(salt_of(F.col("salts"), *[F.col(c) for c in rest])).cast("int")
-    left = left.withColumn("_salt", spread).drop("salts")
-    right = all_salts(one, hot, key).withColumnRenamed("salt", "_salt")
-    return left.join(right, [key, "_salt"], how).drop("_salt")

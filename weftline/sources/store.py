@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.shared import hadoop_path
+from weftline.operators.ordered import numbered
+from weftline.shared import last_json, publish_json, remove
 
 #: The tables' schemas and natural keys.
 SCHEMAS = {
@@ -73,13 +75,56 @@ def mark_handled(edits: DataFrame, done: DataFrame) -> DataFrame:
     return edits.join(d, "id", "left").withColumn("unhandled", F.col("unhandled") & F.col("_done").isNull()).drop("_done").select(edits.columns)
 
 
-def edit_add(edits: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Ids of added edits by key columns: new ids follow the greatest stored one, in order of key within shares of the input.
+def edit_add(edits: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
+    """The added edits with their ids, which follow the greatest stored one without a gap, in order of ``order`` and then of the other columns.
 
-    Edits are never merged with equal ones. Each share of keys gets its own block of ids, so ids have gaps.
+    Edits are never merged with equal ones, so each has an id of its own.
     """
     top = edits.agg(F.max("id")).first()[0] or 0
-    return new.withColumn("id", F.monotonically_increasing_id() + top + 1).groupBy(*keys).agg(F.max("id").alias("id"))
+    return numbered(new, [F.col(c) for c in [*order, *[c for c in new.columns if c not in order]]], "id", top + 1)
+
+
+def add_relations(old: DataFrame, new: DataFrame, files: DataFrame) -> DataFrame:
+    """Relations with those added that new (path, dep_path, ts) names, unless the pair is stored; a path that no file has gets the id -1.
+
+    The stored pair wins, and of several new ones the earliest timestamp. Of several files with one path the greatest id counts.
+    """
+    ids = files.where(F.col("path").isNotNull()).groupBy("path").agg(F.max("id").alias("id"))
+    one = new.join(ids.withColumnRenamed("id", "file_id"), "path", "left")
+    both = one.join(ids.select(F.col("path").alias("dep_path"), F.col("id").alias("dep_id")), "dep_path", "left")
+    unknown = F.lit(-1).cast("long")
+    return insert_ignore(old, both.select(F.coalesce("file_id", unknown).alias("file_id"), F.coalesce("dep_id", unknown).alias("dep_id"), "ts"), ["file_id", "dep_id"], "ts")
+
+
+def upsert_lines_with_bridge(lines: DataFrame, bridge: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines, bridge) after new rows (id, file_id, line, original_line, replacement_id) replaced those of equal (file_id, line) and were tied to their edits.
+
+    Rows of the bridge whose line was replaced go, as the line has another id then.
+    """
+    after = upsert(lines, new, ["file_id", "line"], "id")
+    tied = new.select(F.col("id").alias("line_id"), "replacement_id").join(after.select(F.col("id").alias("line_id")), "line_id", "left_semi")
+    kept = bridge.join(after.select(F.col("id").alias("line_id")), "line_id", "left_semi")
+    return after, kept.unionByName(tied).distinct()
+
+
+def renumber_lines(lines: DataFrame, moved: DataFrame) -> DataFrame:
+    """The line table with other line numbers for the ids in moved (id, line); a row that stood at a number that another takes over goes.
+
+    Of several rows that move to one place that with the greatest id stays.
+    """
+    m = moved.groupBy("id").agg(F.max("line").alias("_to"))
+    out = lines.join(m, "id", "left").withColumn("_moved", F.col("_to").isNotNull()).withColumn("line", F.coalesce("_to", "line"))
+    rank = F.row_number().over(W.partitionBy("file_id", "line").orderBy(F.desc("_moved"), F.desc("id")))
+    return out.withColumn("_rank", rank).where("_rank = 1").select(lines.columns)
+
+
+def tried(write: Callable[[], object], ignored: tuple[type[BaseException], ...] = ()) -> bool:
+    """Whether a write succeeded; an error of an ignored kind counts as success, any other is raised."""
+    try:
+        write()
+    except ignored:
+        pass
+    return True
 
 
 def key_violations(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,56 +133,55 @@ def key_violations(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 class Store:
-    """Tables under one folder. Every write makes a new version of a table; one rename of a pointer shows all tables of a transaction at once."""
+    """Tables under one folder. Every write makes a new version of a table; one exclusive rename of a pointer shows all tables of a transaction at once.
+
+    A transaction reads the versions that held when it began, and fails at its end if another has published since. The rename must be exclusive, as on HDFS
+    and local disks.
+    """
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
         self.pending: dict[str, str] | None = None
+        self.began: tuple[int, dict[str, str]] = (0, {})
 
-    def _versions(self) -> dict[str, str]:
-        fs, p = hadoop_path(self.spark, f"{self.base}/pointers")
-        names = sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
-        names = [n for n in names if n[0].isdigit()]
-        if not names:
-            return {}
-        rows = self.spark.read.schema("name string, path string").json(f"{self.base}/pointers/{names[-1]}").collect()
-        return {r.name: r.path for r in rows}
+    def _pointer(self) -> tuple[int, dict[str, str]]:
+        n, found = last_json(self.spark, f"{self.base}/pointers")
+        return n, found or {}
 
     def create(self) -> None:
         """Makes the tables that are absent."""
-        have = self._versions()
         with self:
             for name, schema in SCHEMAS.items():
-                if name not in have:
+                if name not in self.began[1]:
                     self.write(name, self.spark.createDataFrame([], schema))
 
     def read(self, name: str) -> DataFrame:
-        """The table's current version, or this transaction's."""
-        path = (self.pending or {}).get(name) or self._versions().get(name)
+        """The table's current version; within a transaction its own, or the one that held when it began."""
+        path = self._pointer()[1].get(name) if self.pending is None else self.pending.get(name) or self.began[1].get(name)
         schema = SCHEMAS.get(name)
         if not path:
             return self.spark.createDataFrame([], schema)
         return (self.spark.read.schema(schema) if schema else self.spark.read).parquet(path)
 
     def write(self, name: str, df: DataFrame) -> None:
-        """Writes a new version; outside a transaction it shows at once."""
-        path = f"{self.base}/{name}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        """Writes a new version; outside a transaction it is one of its own."""
         if self.pending is None:
             with self:
-                self.pending[name] = path
-        else:
-            self.pending[name] = path
+                self.write(name, df)
+            return
+        path = f"{self.base}/{name}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.pending[name] = path
 
     def drop(self) -> None:
-        """Removes all tables."""
-        fs, p = hadoop_path(self.spark, self.base)
-        fs.delete(p, True)
+        """Removes all tables and their history."""
+        remove(self.spark, self.base)
 
     def truncate(self) -> None:
-        """Drops and creates."""
-        self.drop()
-        self.create()
+        """Empties all tables in one step."""
+        with self:
+            for name, schema in SCHEMAS.items():
+                self.write(name, self.spark.createDataFrame([], schema))
 
     def dump(self) -> list[str]:
         """The store as ordered text lines; for tests of small stores."""
@@ -150,31 +194,21 @@ class Store:
         return self.spark.sql(text, args=args or None)
 
     def __enter__(self) -> Store:
-        """Begins a transaction."""
-        self.pending = {}
+        """Begins a transaction; one within another is an error."""
+        if self.pending is not None:
+            raise RuntimeError("a transaction is open already")
+        self.began, self.pending = self._pointer(), {}
         return self
 
     def __exit__(self, kind: type | None, *_: object) -> None:
-        """Publishes the transaction's tables together, or none of them if it failed."""
+        """Publishes the transaction's tables together, or none of them if it failed or another transaction came first."""
         new, self.pending = self.pending, None
         if kind is not None or not new:
             return
-        rows = {**self._versions(), **new}
-        fs, folder = hadoop_path(self.spark, f"{self.base}/pointers")
-        fs.mkdirs(folder)
-        n = sum(1 for x in fs.listStatus(folder) if x.getPath().getName()[0].isdigit())
-        part = f"{self.base}/pointers/.{uuid.uuid4().hex}"
-        self.spark.createDataFrame(sorted(rows.items()), "name string, path string").coalesce(1).write.json(part)
-        to = hadoop_path(self.spark, f"{self.base}/pointers/{n:012d}")[1]
-        if fs.exists(to) or not fs.rename(hadoop_path(self.spark, part)[1], to):
-            raise RuntimeError("another transaction published first")
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    """Bag union of any number of tables."""
-    return reduce(DataFrame.unionByName, parts)
-
-
-def not_null(*columns: str) -> Column:
-    """Whether all of the columns have a value."""
-    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+        number, tables = self.began
+        try:
+            publish_json(self.spark, f"{self.base}/pointers", number + 1, {**tables, **new})
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise RuntimeError("another transaction published first") from None
+            raise

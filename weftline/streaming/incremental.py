@@ -13,14 +13,13 @@ processed; the manifest keeps the number of rows of each ended run, and ``late``
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.shared import hadoop_path, remove
+from weftline.shared import hadoop_path, last_json, publish_json, remove
 
 VALUES = ["timestamp", "args_a", "args_b", "n_deps", "deps_a", "deps_b"]
 ROWS = "run_id int, id long, " + ", ".join(f"{c} long" for c in VALUES) + ", part string"
@@ -86,34 +85,12 @@ class RunLog:
 
     def manifest(self) -> dict:
         """The last published manifest; version 0 if there is none."""
-        fs, p = hadoop_path(self.spark, f"{self.base}/commits")
-        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
-        done = [int(n.split(".")[0]) for n in names if n.endswith(".json") and n[0] != "."]
-        if not done:
-            return {"version": 0, "watermark": None, "upper": None, "first": None, "folders": [], "open": None, "rows": {}}
-        stream = fs.open(hadoop_path(self.spark, f"{self.base}/commits/{max(done):012d}.json")[1])
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode("utf8"))
-        finally:
-            stream.close()
+        none = {"version": 0, "watermark": None, "upper": None, "first": None, "folders": [], "open": None, "rows": {}}
+        return last_json(self.spark, f"{self.base}/commits")[1] or none
 
     def publish(self, manifest: dict) -> None:
         """Makes a manifest visible in one step; fails if its version is there already."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        to = jvm.org.apache.hadoop.fs.Path(f"{self.base}/commits/{manifest['version']:012d}.json")
-        fs = to.getFileSystem(conf)
-        fs.mkdirs(to.getParent())
-        part = jvm.org.apache.hadoop.fs.Path(f"{self.base}/commits/.{uuid.uuid4().hex}.part")
-        out = fs.create(part, False)
-        try:
-            out.write(bytearray(json.dumps(manifest), "utf8"))
-        finally:
-            out.close()
-        rename = jvm.org.apache.hadoop.fs.Options.Rename
-        how = self.spark.sparkContext._gateway.new_array(rename, 1)
-        how[0] = rename.NONE
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), conf).rename(part, to, how)
+        publish_json(self.spark, f"{self.base}/commits", manifest["version"], manifest)
 
     def _read(self, paths: list[str], part: str | None = None) -> DataFrame:
         if not paths:
