@@ -107,7 +107,7 @@ def insert_before_first_match(text: Column, pattern: str, new: str) -> Column:
 def without_words(text: Column, *words: str) -> Column:
     """The text without these words where they stand alone, each with the blanks around it made one; by default ``constexpr`` and ``noexcept``."""
     for w in words or ("constexpr", "noexcept"):
-        text = F.regexp_replace(text, rf"(?:^[ \t]*|[ \t]*)\b{w}\b(?:[ \t]*\z|[ \t]*)", " ")
+        text = F.regexp_replace(text, rf"[ \t]*\b{w}\b[ \t]*", " ")
     return F.regexp_replace(text, r"^ +| +\z", "")
 
 
@@ -122,6 +122,11 @@ def line_edits(text: Column, edits: Column) -> Column:
     return F.transform(edits, one)
 
 
+def first_match_line(text: Column, pattern: str) -> Column:
+    """The number, from 1, of the first line that matches; 0 if none does."""
+    return F.coalesce(F.array_position(F.transform(F.split(text, "\n"), lambda x: x.rlike(pattern)), True), F.lit(0)).cast("int")
+
+
 def edit_order(edits: DataFrame) -> DataFrame:
     """Each edit with its place within its file: by start, end, and text descending."""
     order = [F.col("start_line"), F.col("start_line") + F.col("lines_replaced"), F.desc("replacement_text"), F.col("id")]
@@ -153,15 +158,16 @@ def interval_order(edits: Column) -> Column:
 
 
 def apply_edits(text: Column, edits: Column) -> Column:
-    """The text with an array of edits (start, end, text) spliced in; offsets count from 0. Fails if edits overlap or leave the text."""
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    """The text with an array of edits (start, end, text) spliced in; offsets count from 0. Fails if edits overlap or leave the text.
 
-    def step(s: Column, e: Column) -> Column:
-        bad = (e["start"] < s["at"]) | (e["end"] < e["start"]) | (e["end"] > F.length(text))
-        piece = F.concat(s["out"], F.substr(text, s["at"] + 1, e["start"] - s["at"]), e["text"])
-        return F.struct(F.when(bad, F.raise_error(F.lit("overlapping or invalid edits")).cast("string")).otherwise(piece).alias("out"), e["end"].alias("at"))
-
-    return F.aggregate(interval_order(edits), zero, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))
+    Each edit gives the stretch before it and its own text, and these are joined once, so the work doesn't grow with edits times text.
+    """
+    e = interval_order(edits)
+    ends = F.concat(F.array(F.lit(0)), F.transform(e, lambda x: x["end"]))
+    bad = F.exists(F.arrays_zip(e.alias("e"), F.slice(ends, 1, F.size(e)).alias("at")), lambda x: (x["e"]["start"] < x["at"]) | (x["e"]["end"] < x["e"]["start"]) | (x["e"]["end"] > F.length(text)))
+    pieces = F.transform(e, lambda x, i: F.concat(F.substr(text, F.get(ends, i) + 1, x["start"] - F.get(ends, i)), x["text"]))
+    joined = F.concat(F.array_join(pieces, ""), F.substr(text, F.element_at(ends, -1) + 1))
+    return F.when(text.isNull() | edits.isNull(), F.lit(None).cast("string")).when(F.size(e) == 0, text).when(bad, F.raise_error(F.lit("overlapping or invalid edits")).cast("string")).otherwise(joined)
 
 
 def edit_size_delta(edits: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.functions.text import first_match_line, newline_count
 from weftline.operators.ordered import WIDTH
 
 
@@ -74,6 +75,18 @@ def compose(newer: DataFrame, older: DataFrame) -> DataFrame:
     return newer.join(o, ["file_id", "original_line"], "left").select("file_id", "line", F.coalesce("first_line", "original_line").alias("original_line"))
 
 
+def header_inserted(texts: DataFrame, lines: DataFrame, pattern: str) -> DataFrame:
+    """The line table (file_id, line, original_line) after a line was put before the first match of each text (file_id, text).
+
+    Lines from there on move by one, and the new line has the origin of the one that it pushed on. ``lines`` holds what was known of the texts before; lines that it lacks are their own
+    origin. Texts without a match keep their rows.
+    """
+    at = texts.select("file_id", first_match_line(F.col("text"), pattern).alias("start_line"), (newline_count(F.col("text")) + 1).alias("n")).where("start_line > 0")
+    edits = at.select("file_id", "start_line", F.lit(0).alias("replaced"), F.lit(1).alias("inserted"), F.lit("").alias("text"))
+    moved = compose(line_provenance(edits, at.select("file_id", "n")), lines)
+    return moved.unionByName(lines.join(at.select("file_id"), "file_id", "left_anti").select(moved.columns))
+
+
 def original_line(probes: DataFrame, lines: DataFrame) -> DataFrame:
     """(file_id, line, original_line): the stored origin of each distinct probed line, or the line itself."""
     return probes.select("file_id", "line").distinct().join(lines.select("file_id", "line", "original_line"), ["file_id", "line"], "left").select("file_id", "line", F.coalesce("original_line", "line").alias("original_line"))

@@ -176,6 +176,35 @@ def substituted_chain(links: DataFrame, start: DataFrame) -> DataFrame:
     return d.select("id", F.coalesce("target", "id").alias("target"), "arguments", F.coalesce("steps", F.lit(0)).alias("steps"))
 
 
+def rewritten(types: DataFrame, names: DataFrame, strict: bool = True) -> DataFrame:
+    """(id, text) of every type, written from its parts upwards, with other names for some kinds.
+
+    types: (id, parent, place, kind, pattern); ``{n}`` in a pattern stands for the text of the part at place n, and ``{name}`` for the new name of its kind. names: (kind, name).
+    A kind without a name, where the pattern asks for one, is an error if ``strict``, else the kind itself is written. A round writes the types all of whose parts are written, so rounds are as
+    many as the deepest type has levels, and each joins only types that wait for one of the last round's.
+    """
+    missing = F.raise_error(F.concat(F.lit("no name for "), F.coalesce("kind", F.lit("null")))).cast("string") if strict else F.col("kind")
+    new = names.groupBy("kind").agg(F.max("name").alias("name"))
+    named = types.join(new, "kind", "left").withColumn("asks", F.col("pattern").contains("{name}"))
+    own = F.when(F.col("asks"), F.replace("pattern", F.lit("{name}"), F.coalesce("name", missing))).otherwise(F.col("pattern"))
+    parts = types.where("parent IS NOT NULL").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("parts"))
+    waiting = written(named.select("id", "parent", "place", own.alias("text")).join(parts, "id", "left").select("id", "parent", "place", "text", F.coalesce("parts", F.lit(0)).alias("parts")), "types")
+    front = done = written(waiting.where("parts = 0").select("id", "parent", "place", "text"), "written", {"n": F.count(F.lit(1))})
+    arrived = None
+    while front.observed["n"]:
+        came = front.where("parent IS NOT NULL").select(F.col("parent").alias("id"), "place", "text")
+        last, arrived = arrived, written(came if arrived is None else came.unionByName(arrived), "arrived")
+        release(last)
+        have = arrived.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", F.col("text").alias("part")))).alias("have"))
+        ready = waiting.where("parts > 0").join(have, "id").where(F.size("have") == F.col("parts"))
+        text = F.aggregate("have", F.col("text"), lambda t, p: F.replace(t, F.concat(F.lit("{"), p["place"].cast("string"), F.lit("}")), p["part"]))
+        front = written(ready.select("id", "parent", "place", text.alias("text")), "written", {"n": F.count(F.lit(1))})
+        last, arrived = arrived, written(arrived.join(front.select("id"), "id", "left_anti"), "arrived")
+        release(last)
+        done = done.unionByName(front)
+    return done.select("id", "text")
+
+
 def unique_name(places: DataFrame) -> DataFrame:
     """(file, line, col, generated): one generated name per place."""
     return places.select("file", "line", "col").distinct().withColumn("generated", F.concat_ws("_", F.lit("unnamed"), "file", "line", "col"))

@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def _bodies(views: str) -> list[tuple[str, str]]:
     """(name, body) of each common table expression in a list of them."""
     out = []
-    for m in re.finditer(r"(\w+) AS \(", views):
+    for m in re.finditer(r"(\w+) AS (?:MATERIALIZED )?\(", views):
         depth, at = 1, m.end()
         while depth and at < len(views):
             depth += {"(": 1, ")": -1}.get(views[at], 0)

@@ -27,13 +27,14 @@ KINDS = [
 FLAGS = sorted({w for rules in RULES.values() for p in rules.values() for w in re.findall(r"[a-z_]{2,}", re.sub(r"\b(?:child|parent|below|above|ref)\(|[A-Z]\w+", " ", p))})
 
 
-def _period(j: int) -> int:
-    return 2 + j % 2
+def _spread(j: int) -> tuple[int, int]:
+    """Factor and offset that make half of all nodes have property j, nearly independently of the others."""
+    return 2 * j + 7, 31 * j + 1
 
 
 def _labels(k: Column) -> Column:
     kind = F.get(F.array(*[F.array(*[F.lit(x) for x in names]) for names in KINDS]), (k % len(KINDS)).cast("int"))
-    own = F.array_compact(F.array(*[F.when((F.floor(k / len(KINDS)) + 5 * j) % _period(j) == 0, F.lit(f)) for j, f in enumerate(FLAGS)]))
+    own = F.array_compact(F.array(*[F.when((k * p + q) % 1013 % 2 == 0, F.lit(f)) for f, (p, q) in zip(FLAGS, map(_spread, range(len(FLAGS))), strict=True)]))
     return F.concat(kind, own)
 
 
@@ -50,12 +51,12 @@ def nodes(s: S, d: str) -> DataFrame:
 
 _FIRST = "CAST(split_part(substr(id, 2), '.', 1) AS BIGINT)"
 _KIND_SQL = "[" + ", ".join("[" + ", ".join(f"'{x}'" for x in names) + "]" for names in KINDS) + "]"
-_OWN_SQL = "list_filter([" + ", ".join(f"CASE WHEN (k // {len(KINDS)} + {5 * j}) % {_period(j)} = 0 THEN '{f}' END" for j, f in enumerate(FLAGS)) + "], lambda x: x IS NOT NULL)"
+_OWN_SQL = "list_filter([" + ", ".join(f"CASE WHEN (k * {p} + {q}) % 1013 % 2 = 0 THEN '{f}' END" for f, (p, q) in zip(FLAGS, map(_spread, range(len(FLAGS))), strict=True)) + "], lambda x: x IS NOT NULL)"
 _NODES = f"""numbers AS (SELECT id, parent, kind, {_FIRST} AS first, CASE kind WHEN 'region' THEN {_FIRST} WHEN 'nation' THEN {_FIRST} + 7 WHEN 'customer' THEN {_FIRST} * 3 + 2
   WHEN 'order' THEN {_FIRST} * 5 + 1 ELSE {_FIRST} * 8 + CAST(split_part(id, '.', 2) AS BIGINT) END AS k FROM node),
-nodes AS (SELECT id, parent, CASE kind WHEN 'line' THEN 'o' || (first // 2 + 1) WHEN 'order' THEN 'c' || (first % 97 + 1) END AS ref, 'f' || (first % 50) AS file,
+nodes AS MATERIALIZED (SELECT id, parent, CASE kind WHEN 'line' THEN 'o' || (first // 2 + 1) WHEN 'order' THEN 'c' || (first % 97 + 1) END AS ref, 'f' || (first % 50) AS file,
   list_concat({_KIND_SQL}[k % {len(KINDS)} + 1], {_OWN_SQL}) AS labels FROM numbers),
-closure AS (SELECT id, parent AS anc FROM nodes WHERE parent IS NOT NULL UNION ALL SELECT c.id, n.parent FROM closure c JOIN nodes n ON n.id = c.anc WHERE n.parent IS NOT NULL)"""
+closure AS MATERIALIZED (SELECT id, parent AS anc FROM nodes WHERE parent IS NOT NULL UNION ALL SELECT c.id, n.parent FROM closure c JOIN nodes n ON n.id = c.anc WHERE n.parent IS NOT NULL)"""
 
 
 def _register(transform: str) -> None:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import paths, text
-from weftline.operators import rules, tree
+from weftline.operators import provenance, rules, tree
 from weftline.plans.registry import Book
 from weftline.shared import written
 from weftline.sources import adapters as a
@@ -67,12 +67,40 @@ def insert_before_first_match(s: S, d: str) -> DataFrame:
     return _docs(s, d).select("doc_id", F.md5(F.array_join(lines, "\n")).alias("digest"))
 
 
-@book("SELECT doc_id, md5(CASE WHEN length(text) < 30 THEN text ELSE 'A' || substr(text, 4, 7) || 'B' || substr(text, 11, 10) || substr(text, 26) END) AS digest FROM documents")
+@book("""SELECT doc_id, md5(array_to_string(list_transform(range(1, len(l) + 1), lambda i: l[i] || CASE WHEN i = len(l) THEN '' WHEN i % 3 = 0 THEN chr(10) || '> ' WHEN i % 3 = 1 THEN '*' || chr(10) ELSE '' END), '')) AS digest
+FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""")
 def apply_edits(s: S, d: str) -> DataFrame:
-    kind = "array<struct<start:int,end:int,text:string>>"
-    spec = F.array(*[F.struct(F.lit(p).alias("start"), F.lit(q).alias("end"), F.lit(t).alias("text")) for p, q, t in ((20, 25, ""), (0, 3, "A"), (10, 10, "B"))]).cast(kind)
-    mine = F.when(F.length("text") >= 30, spec).otherwise(F.array().cast(kind))
-    return _docs(s, d).select("doc_id", F.md5(text.apply_edits(F.col("text"), mine)).alias("digest"))
+    """An edit at every line break of every text: something put behind it, something put before it, or the break taken out, in turn."""
+    sizes = F.transform(F.split("text", "\n"), F.length)
+    breaks = F.aggregate(F.slice(sizes, 1, F.size(sizes) - 1), F.array().cast("array<int>"), lambda a, n: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)) + 1, F.lit(0)) + n))
+
+    def edit(at: Column, i: Column) -> Column:
+        k = (i + 1) % 3
+        return F.struct(at.alias("start"), F.when(k == 1, at).otherwise(at + 1).alias("end"), F.when(k == 0, F.lit("\n> ")).when(k == 1, F.lit("*")).otherwise(F.lit("")).alias("text"))
+
+    edits = _docs(s, d).withColumn("edits", F.transform(breaks, edit))
+    return edits.select("doc_id", F.md5(text.apply_edits(F.col("text"), F.col("edits"))).alias("digest"))
+
+
+_HEAD = r"^(CLAIMS|Claims:)\z"
+
+
+@book("""SELECT doc_id AS file_id, i AS line, CASE WHEN i <= p THEN i ELSE i - 1 END AS original_line FROM (
+  SELECT doc_id, len(l) AS n, list_position(list_transform(l, lambda x: regexp_matches(x, '^(CLAIMS|Claims:)\\z')), true) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+  unnest(range(1, n + 2)) t(i) WHERE p > 0""")
+def insert_shift(s: S, d: str) -> DataFrame:
+    """Where the lines of each text come from after a line was put before its claims."""
+    texts = _docs(s, d).withColumnRenamed("doc_id", "file_id")
+    none = s.createDataFrame([], "file_id long, line int, original_line int")
+    return provenance.header_inserted(texts, none, _HEAD).select("file_id", F.col("line").cast("long").alias("line"), F.col("original_line").cast("long").alias("original_line"))
+
+
+@book("""SELECT id, regexp_replace(regexp_replace(regexp_replace(command, '[ \\t]*\\bc\\b[ \\t]*', ' ', 'g'), '[ \\t]*\\bo\\b[ \\t]*', ' ', 'g'), '^ +| +\\z', '', 'g') AS rest
+FROM compile_commands WHERE regexp_full_match(command, '[\\x00-\\x7f]*')""")
+def without_words(s: S, d: str) -> DataFrame:
+    """Commands without two letters where they stand alone; commands beyond ASCII are left out, as the two engines tell words differently there."""
+    commands = table(s, d, "compile_commands").where(F.col("command").rlike(r"^[\x00-\x7f]*\z"))
+    return commands.select("id", text.without_words(F.col("command"), "c", "o").alias("rest"))
 
 
 @book("""SELECT event_id, CAST(CASE WHEN ms >= 1000 THEN ms // 1000 ELSE ms END AS VARCHAR) || CASE WHEN ms >= 1000 THEN ' second' ELSE ' millisecond' END
@@ -209,6 +237,19 @@ def split_tokens(s: S, d: str) -> DataFrame:
     return _paths(s, d).select("path", F.size(t).cast("long").alias("n"), F.array_join(t, "|").alias("tokens"))
 
 
+@book(
+    """SELECT p.path, x.prefix, x.replacement || substr(p.path, length(x.prefix) + 1) AS moved FROM p LEFT JOIN (
+  SELECT path, prefix, replacement FROM p JOIN pre ON starts_with(path, prefix) QUALIFY row_number() OVER (PARTITION BY path ORDER BY length(prefix) DESC) = 1) x USING (path)""",
+    _P + ", pre AS (SELECT DISTINCT regexp_extract(path, '^/[^/]+/[^/]+/') AS prefix, '/moved' || regexp_extract(path, '^/[^/]+/[^/]+/') AS replacement FROM p WHERE regexp_matches(path, '^/[^/]+/[^/]+/') UNION ALL SELECT '/srv/', '/s/')",
+)
+def prefix_join(s: S, d: str) -> DataFrame:
+    """The longest of many prefixes of each path."""
+    p = _paths(s, d)
+    folder = F.regexp_extract("path", "^/[^/]+/[^/]+/", 0)
+    many = p.where(folder != "").select(folder.alias("prefix"), F.concat(F.lit("/moved"), folder).alias("replacement")).distinct()
+    return paths.matching_prefixes(p, many.unionByName(s.createDataFrame([("/srv/", "/s/")], many.schema)))
+
+
 # Tree patterns.
 
 _URGENT = tree.kind("order", "name = '1-URGENT'")
@@ -374,4 +415,46 @@ def check_summary(s: S, d: str) -> DataFrame:
     return fx.check_summary(table(s, d, "events").select((F.col("event_type") != "error").alias("passed")))
 
 
+@book("SELECT path, count(*) FILTER (id IS NULL OR id % 4 = 0) AS n_failed FROM (SELECT DISTINCT path FROM file) f LEFT JOIN compile_commands c ON c.file = f.path GROUP BY 1 HAVING count(*) FILTER (id IS NULL OR id % 4 = 0) > 0")
+def failed_files(s: S, d: str) -> DataFrame:
+    """Files of which a command failed, or that have none."""
+    runs = table(s, d, "compile_commands").select(F.col("file").alias("path"), (F.col("id") % 4 != 0).alias("passed"))
+    return fx.failed_paths(a.files(s, d).select("path").distinct().join(runs, "path", "left"))
+
+
+_LINKS = """link AS (SELECT id, up AS target FROM (SELECT id, CASE WHEN id % 7 <> 0 THEN id - 1 - id % 3 END AS up FROM file) WHERE up IN (SELECT id FROM file)),
+follow AS (SELECT id, target, 1 AS steps, CASE WHEN id % 2 = 0 THEN ['$1', 'c' || id] ELSE ['$2', '$1'] END AS args FROM link
+  UNION ALL SELECT f.id, l.target, steps + 1, list_transform(CASE WHEN l.id % 2 = 0 THEN ['$1', 'c' || l.id] ELSE ['$2', '$1'] END, lambda x: CASE x WHEN '$1' THEN args[1] WHEN '$2' THEN args[2] ELSE x END)
+  FROM follow f JOIN link l ON l.id = f.target)"""
+
+
+@book("SELECT id, target, array_to_string(args, ',') AS arguments, steps FROM follow QUALIFY row_number() OVER (PARTITION BY id ORDER BY steps DESC) = 1 UNION ALL SELECT id, id, NULL, 0 FROM file WHERE id NOT IN (SELECT id FROM link)", _LINKS)
+def chain_arguments(s: S, d: str) -> DataFrame:
+    """Files as calls that hand on to another file, with the arguments of the last call in terms of the first one's."""
+    f = a.files(s, d).select("id")
+    up = f.select("id", F.when(F.col("id") % 7 != 0, F.col("id") - 1 - F.col("id") % 3).alias("target"))
+    given = F.when(F.col("id") % 2 == 0, F.array(F.lit("$1"), F.concat(F.lit("c"), "id"))).otherwise(F.array(F.lit("$2"), F.lit("$1")))
+    links = up.join(f.select(F.col("id").alias("target")), "target", "left_semi").select("id", "target", given.alias("arguments"))
+    found = tree.substituted_chain(links, f)
+    return found.select("id", "target", F.array_join("arguments", ",").alias("arguments"), "steps")
+
+
+@book(
+    """SELECT id, text FROM (SELECT o.o_orderkey AS id, 'O<' || o_orderstatus || ',' || (SELECT string_agg('L_' || name, ',' ORDER BY k) FROM kids WHERE kids.parent = o.o_orderkey) || '>' AS text FROM orders o
+  WHERE o.o_orderkey IN (SELECT parent FROM kids) UNION ALL SELECT -(parent * 8 + k), 'L_' || name FROM kids UNION ALL SELECT o_orderkey, 'O<' || o_orderstatus || '>' FROM orders WHERE o_orderkey NOT IN (SELECT parent FROM kids))""",
+    "kids AS (SELECT l_orderkey AS parent, l_linenumber AS k, min(l_returnflag) AS name FROM lineitem GROUP BY 1, 2)",
+)
+def type_rewrite(s: S, d: str) -> DataFrame:
+    """Orders as types whose parts are their lines, written with new names from the lines upwards."""
+    kids = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("parent"), F.col("l_linenumber").alias("k")).agg(F.min("l_returnflag").alias("name"))
+    lines = kids.select((-(F.col("parent") * 8 + F.col("k"))).alias("id"), "parent", F.col("k").alias("place"), F.col("name").alias("kind"), F.lit("{name}").alias("pattern"))
+    places = kids.groupBy(F.col("parent").alias("o_orderkey")).agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    holes = F.concat_ws(",", F.array(F.lit("{name}")), F.transform("ks", lambda k: F.concat(F.lit("{"), k.cast("string"), F.lit("}"))))
+    orders = table(s, d, "orders").join(places, "o_orderkey", "left")
+    tops = orders.select(F.col("o_orderkey").alias("id"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("place"), F.col("o_orderstatus").alias("kind"), F.concat(F.lit("O<"), F.coalesce(holes, F.lit("{name}")), F.lit(">")).alias("pattern"))
+    flags = kids.select(F.col("name").alias("kind"), F.concat(F.lit("L_"), "name").alias("name")).distinct()
+    own = orders.select(F.col("o_orderstatus").alias("kind"), F.col("o_orderstatus").alias("name")).distinct().join(flags, "kind", "left_anti")
+    return tree.rewritten(tops.unionByName(lines), flags.unionByName(own))
+
+
 QUERIES, SQL = book.queries, book.sql
