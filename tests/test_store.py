@@ -86,7 +86,7 @@ def test_running(spark):
     df = spark.createDataFrame(rows, "id long, k int, at int, v int")
     values = {"total": ("sum", F.col("v")), "top": ("max", F.col("v"))}
     for inclusive in (True, False):
-        for r in running(df, "k", "at", [F.asc_nulls_last("at"), F.col("id")], values, inclusive, 3).collect():
+        for r in running(df, "k", [F.asc_nulls_last("at"), F.col("id")], values, inclusive).collect():
             place = lambda x: (x[2] is None, x[2] or 0, x[0])
             mine = [x[3] for x in rows if x[1] == r.k and (place(x) < place(r) or (inclusive and x[0] == r.id))]
             assert (r.total, r.top) == (sum(mine), max(mine, default=None))

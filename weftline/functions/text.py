@@ -130,7 +130,7 @@ def first_match_line(text: Column, pattern: str) -> Column:
 def edit_order(edits: DataFrame) -> DataFrame:
     """Each edit with its place within its file: by start, end, and text descending."""
     order = [F.col("start_line"), F.col("start_line") + F.col("lines_replaced"), F.desc("replacement_text"), F.col("id")]
-    return running(edits, "file_id", "start_line", order, {"place": ("sum", F.lit(1))}).select("id", "file_id", F.col("place").cast("int").alias("place"))
+    return running(edits, "file_id", order, {"place": ("sum", F.lit(1))}).select("id", "file_id", F.col("place").cast("int").alias("place"))
 
 
 def edit_bounds(edits: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -143,13 +143,13 @@ def edit_bounds(edits: DataFrame, lengths: DataFrame) -> DataFrame:
 def edit_overlap(edits: DataFrame) -> DataFrame:
     """Ids of edits (id, file_id, start, end, text) that begin before an earlier one of their file ends."""
     order = [F.col(c) for c in ("start", "end", "text", "id")]
-    return running(edits, "file_id", "start", order, {"reach": ("max", F.col("end"))}, inclusive=False).where(F.col("start") < F.col("reach")).select("id")
+    return running(edits, "file_id", order, {"reach": ("max", F.col("end"))}, inclusive=False).where(F.col("start") < F.col("reach")).select("id")
 
 
 def interval_places(edits: DataFrame) -> DataFrame:
     """Each edit (id, file_id, start, end, text) with its place within its file: by start, end, text ascending."""
     order = [F.col(c) for c in ("start", "end", "text", "id")]
-    return running(edits, "file_id", "start", order, {"place": ("sum", F.lit(1))}).select("id", "file_id", F.col("place").cast("int").alias("place"))
+    return running(edits, "file_id", order, {"place": ("sum", F.lit(1))}).select("id", "file_id", F.col("place").cast("int").alias("place"))
 
 
 def interval_order(edits: Column) -> Column:

@@ -8,26 +8,28 @@ from pyspark.sql import functions as F
 
 from weftline.shared import written
 
-#: Positions that one bucket spans.
-WIDTH = 1 << 12
+
+def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df cut into ranges of an order, as ``_range``, and written, so that a task that runs again finds the same rows."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
 
 
-def running(df: DataFrame, key: str, position: str, order: list[Column], values: dict[str, tuple[str, Column]], inclusive: bool = True, width: int = WIDTH) -> DataFrame:
+def running(df: DataFrame, key: str, order: list[Column], values: dict[str, tuple[str, Column]], inclusive: bool = True) -> DataFrame:
     """df with a running ``sum`` or ``max`` of each value over its key's rows up to this one, or before it.
 
-    ``position`` is a number that comes first in the order. Rows are split by key and bucket of positions; buckets are summed up
-    first, with partial sums, and what earlier buckets of the key hold is carried into each. So a key with very many rows spreads over as
-    many tasks as it has buckets, and only bucket totals of a key meet in one place. Rows without key or position come out last,
-    under a key or bucket of their own.
+    All rows are cut into ranges along key and order, so a key with very many rows spreads over as many ranges as it fills, however close its rows stand. Totals of a
+    key in a range are made with partial sums, and what earlier ranges of the key hold is carried on: only to the first key of a range, as any other
+    begins in it, so what is broadcast has a row for each range at most. A null key is a key of its own.
     """
-    bucket = F.coalesce(F.floor(F.col(position) / width), F.lit(2**62))
-    d = df.withColumn("_bucket", bucket)
+    cut = _ranged(df, [F.col(key), *order])
     whole = {"sum": F.sum, "max": F.max}
-    per = d.groupBy(F.col(key).alias("_key"), F.col("_bucket").alias("_at")).agg(*[whole[k](c).alias(f"_{n}") for n, (k, c) in values.items()])
+    per = cut.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_at")).agg(*[whole[k](c).alias(f"_{n}") for n, (k, c) in values.items()])
     earlier = W.partitionBy("_key").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
-    carried = per.select("_key", "_at", *[whole[k](F.col(f"_{n}")).over(earlier).alias(f"_{n}") for n, (k, _) in values.items()])
-    own = W.partitionBy(key, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow if inclusive else -1)
-    both = d.join(carried, d[key].eqNullSafe(carried["_key"]) & (d["_bucket"] == carried["_at"]))
+    carried = per.select("_key", "_at", F.count(F.lit(1)).over(earlier).alias("_before"), *[whole[k](F.col(f"_{n}")).over(earlier).alias(f"_{n}") for n, (k, _) in values.items()])
+    carried = F.broadcast(carried.where("_before > 0").drop("_before"))
+    own = W.partitionBy(key, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow if inclusive else -1)
+    both = cut.join(carried, cut[key].eqNullSafe(carried["_key"]) & (cut["_range"] == carried["_at"]), "left")
     out = {}
     for n, (k, c) in values.items():
         here = whole[k](c).over(own)
@@ -41,8 +43,7 @@ def numbered(df: DataFrame, order: list[Column], name: str, first: int = 1) -> D
     The table is cut into ranges of the order and written, so a task that runs again finds the same rows; each range is numbered by itself, and the
     few counts of ranges are carried along. No task orders more than its range.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = written(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    cut = _ranged(df, order)
     before = F.coalesce(F.sum("_rows").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     carried = F.broadcast(cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows")).select("_range", before.alias("_before")))
     own = F.row_number().over(W.partitionBy("_range").orderBy(*order))

@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.text import first_match_line, newline_count
-from weftline.operators.ordered import WIDTH
+
+#: Lines that one bucket of a file spans. Edits that don't overlap and take lines can't be more than these; only pure insertions at one line can.
+WIDTH = 1 << 12
 
 
 def edit_metrics(edits: DataFrame) -> DataFrame:
