@@ -112,21 +112,25 @@ def dense(at: np.ndarray, least: int, width: int = SHINGLE) -> bool:
     return bool((x[least - 1 :] - np.minimum.accumulate(x)[: len(x) - least + 1]).max() >= width - width * each - 1e-6)
 
 
-def aligned(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
-    """(item words covered, score) of the best local alignment of two word sequences."""
+def aligned(item: np.ndarray, text: np.ndarray, needed_score: float = 0) -> tuple[int, int]:
+    """(item words covered, score) of the best local alignment of two word sequences; it may stop, with a lesser one, once none can reach the needed score."""
     one, low = 1 << 32, (1 << 32) - 1  # the score in the upper 32 bits, the beginning in the lower
     steps = np.arange(len(text), dtype=np.int64) * one
+    gains = np.where(item[:, None] == text[None, :], one, -one)
     row = np.zeros(len(text) + 1, np.int64)
     best = (0, 0)
-    for i, w in enumerate(item.tolist()):
+    for i, gain in enumerate(gains):
         fresh = low - i  # a score of 0 that begins at this row; earlier beginnings win ties
-        step = np.where(text == w, one, -one)
-        now = np.maximum(np.where(row[:-1] >= one, row[:-1], fresh) + step, row[1:] - one)
-        now = np.maximum.accumulate(now + steps) - steps
+        now = np.maximum(np.where(row[:-1] >= one, row[:-1], fresh) + gain, row[1:] - one)
+        now += steps
+        np.maximum.accumulate(now, out=now)
+        now -= steps
         now[now < one] = 0
         top = int(now.max(initial=0))
         if top >= one and (top >> 32) > best[1]:
             best = (i - (low - (top & low)) + 1, top >> 32)
+        if max((top >> 32) + len(item) - i - 1, best[1]) < needed_score:
+            break
         row[1:] = now
     return best
 
@@ -174,19 +178,22 @@ def passing(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 
 def may_align(item: np.ndarray, text: np.ndarray) -> bool:
-    """Whether some band of diagonals has as many equal words as a stretch must have; False only if there is no stretch.
+    """Whether some band of diagonals has equal words in as many places of the item as a stretch must have; False only if there is no stretch.
 
     A stretch with g words added or missing stays in a band of g + 1 diagonals, and has g equal words more than its score at
-    least, and (1 + DENSITY) / 2 equal words an item word.
+    least, and (1 + DENSITY) / 2 equal words an item word. All equal words of a band are counted first; where they are enough, each place of the item counts once.
     """
     i, p = np.nonzero(item[:, None] == text[None, :])
-    total = np.concatenate([[0], np.cumsum(np.bincount(p - i + len(item), minlength=len(item) + len(text)))])
-    held = least_held(len(item))
-    for g in range(int((1 - DENSITY) / 2 * held), int((1 - DENSITY) * len(item)) + 1):
-        width = min(g + 1, len(total) - 1)
-        if int((total[width:] - total[:-width]).max()) >= max((1 + DENSITY) / 2 * held, DENSITY * held + g):
-            return True
-    return False
+    at, width, held = p - i + len(item), len(item) + len(text) + 1, least_held(len(item))
+    bands = range(int((1 - DENSITY) / 2 * held), int((1 - DENSITY) * len(item)) + 1)
+    least = [max((1 + DENSITY) / 2 * held, DENSITY * held + g) for g in bands]
+    total = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=width))])
+    if not any(int((total[w:] - total[:-w]).max()) >= n for w, n in zip((min(g + 1, width) for g in bands), least, strict=True)):
+        return False
+    # A place counts for the bands that begin behind its last equal word, or no more than g before this one.
+    behind = np.where(np.concatenate([[False], i[1:] == i[:-1]]), np.concatenate([[0], at[:-1]]) + 1, 0)
+    ends = np.bincount(at + 1, minlength=width + 1)
+    return any(int(np.cumsum(np.bincount(np.maximum(at - g, behind), minlength=width + 1) - ends).max()) >= n for g, n in zip(bands, least, strict=True))
 
 
 #: Counts of shingles that one row of a scan holds.
@@ -301,7 +308,7 @@ def _verified(regions: DataFrame, items: dict[int, np.ndarray], index: tuple[np.
                         window = ids[int(p[part[0]]) : int(p[part[-1]]) + width]
                         if not may_align(w, window):
                             continue
-                        held, score = aligned(w, window)
+                        held, score = aligned(w, window, DENSITY * least_held(size))
                         if score >= DENSITY * least_held(size) and (held < least_held(size) or score < DENSITY * held):
                             held, score = passing(w, window)
                         if held >= least_held(size) and score >= DENSITY * held:
