@@ -201,3 +201,97 @@ def test_frequent_and_dependents(spark):
     df = spark.createDataFrame(rows, "file_id long, dep_id long, dependency_timestamp long")
     assert {r.dep_id: (r.n_rows, r.n_dependents, r.newest_timestamp) for r in dependents(df).collect()} == {5: (30, 2, 9), 6: (20, 2, 1), None: (10, 1, 2)}
     assert {r.dep_id for r in frequent_keys(df, "dep_id", 33).collect()} == {5, 6}
+
+
+def test_state_in_merged_folders(spark, monkeypatch):
+    import weftline.streaming.incremental as m
+
+    monkeypatch.setattr(m, "FAN", 2)
+    units, rels, runs = history(random.Random(9))
+    cu, rel = spark.createDataFrame([(*x, "clash") for x in units], CU), spark.createDataFrame(rels, REL)
+    table = spark.createDataFrame(runs, "run_id int, status string")
+    log = RunLog(spark, scratch_path(spark, "merged"))
+    for n in range(1, 7):
+        log.process(cu, rel, table, upper=n)
+    last = log.manifest()
+    assert [level for _, level in last["folders"]] == [2, 0], "five ended runs in folders of four and one"
+    want = expected(units, rels, runs)
+    assert sorted(map(tuple, log.changes().collect())) == sorted(want)
+    log.vacuum()
+    assert sorted(map(tuple, log.changes().collect())) == sorted(want) and log.manifest() == last
+    assert log.late(cu, rel).count() == 0
+    more = cu.unionByName(spark.createDataFrame([(999, 1, "a", 2, T[60], "x"), (999, 1, "a", 6, T[60], "x")], CU))
+    assert [(r.run_id, r.n_now - r.n_recorded) for r in log.late(more, rel).collect()] == [(2, 1)], "a row that came to an ended run is reported, one of an open run isn't"
+    # A unit that only a relation names, ties, nulls and extra columns.
+    odd_units = spark.createDataFrame([(1, None, None, 1, None, "b"), (1, 5, "x", 1, None, "b"), (2, 5, None, 1, T[1], "b"), (None, 5, "x", 1, T[1], "b"), (2, 5, None, 2, T[1], "b"), (3, 5, "", 2, T[1], "b")], CU)
+    odd_rels = spark.createDataFrame([(7, 1, 1, 2, T[1]), (2, None, None, 1, T[1]), (2, None, None, 2, T[1]), (None, 1, 1, 2, T[1])], REL)
+    odd = RunLog(spark, scratch_path(spark, "odd"))
+    odd.process(odd_units, odd_rels, spark.createDataFrame([(1, "succeeded"), (2, "succeeded"), (None, "failed")], "run_id int, status string"))
+    assert [tuple(r) for r in odd.changes().collect()] == [(2, 3)]
+
+
+def test_summaries_keep_what_is_frequent():
+    import pyarrow as pa
+
+    from weftline.skew import _summaries
+
+    rnd = random.Random(4)
+    keys = [rnd.choice([1] * 5 + [2] * 3 + [None, *range(3, 400)]) for _ in range(5000)] + [1] * 500 + [2] * 300
+    rnd.shuffle(keys)
+    for most in (4, 50, 10_000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 700], pa.int64())], names=["k"]) for i in range(0, len(keys), 700)]
+        rows = [(k, n) for b in _summaries(iter(batches), most) for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        assert rows[-1] == (None, len(keys)) and len(rows) <= most + 1
+        got = dict(rows[:-1])
+        for k in {x for x in keys if x is not None}:
+            n = keys.count(k)
+            assert n - len(keys) / (most + 1) - 1 <= got.get(k, 0) <= n
+    assert list(_summaries(iter([]), 4)) == []
+
+
+@pytest.mark.parametrize("kind", ["long", "binary", "string"])
+def test_hot_keys_of_every_kind(spark, kind):
+    from weftline.skew import all_salts, hot_keys, with_salt
+
+    value = {"long": lambda k: k, "binary": lambda k: bytes([k]), "string": str}[kind]
+    rows = [(value(k), i) for i, k in enumerate([1] * 300 + [2] * 90 + list(range(3, 100)))] + [(None, 500)] * 200
+    df = spark.createDataFrame(rows, f"k {kind}, v long")
+    hot = hot_keys(df, "k", 80)
+    assert {r.k if kind != "binary" else bytes(r.k) for r in hot.collect()} == {value(1), value(2)} and hot.few
+    salted = with_salt(df, hot, "k", "v").groupBy("k", "salt").count().collect()
+    assert max(r["count"] for r in salted if r.k is not None) <= 160 and sum(r["count"] for r in salted) == len(rows)
+    both = with_salt(df, hot, "k", "v").join(all_salts(df.select("k").distinct(), hot, "k"), ["k", "salt"])
+    assert both.count() == len(rows) - 200
+    assert hot_keys(df.limit(0), "k", 80).count() == 0
+
+
+def test_unrepeated_rows(spark):
+    from weftline.functions.packed import unrepeated
+
+    rows = [(1, 1, "a"), (1, 1, "a"), (1, 2, "a"), (None, 1, "x"), (None, 1, "x"), (2, 1, "p"), (2, 1, "q"), (3, None, None)]
+    df = spark.createDataFrame(rows, "id long, run int, t string")
+    assert sorted(map(str, map(tuple, unrepeated(df, ["id", "run"]).collect()))) == sorted(map(str, set(rows)))
+    assert unrepeated(df.limit(0), ["id"]).count() == 0
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    from weftline.shared import hadoop_path, release, scratch_scope, shared_dir, written
+
+    there = lambda df: hadoop_path(spark, df.scratch)[0].exists(hadoop_path(spark, df.scratch)[1])
+    out = written(spark.range(5), "out")
+    with scratch_scope():
+        inner = written(spark.range(3), "inner", {"n": F.count(F.lit(1))})
+        assert inner.observed["n"] == 3 and there(inner)
+        early = written(spark.range(3), "early")
+        release(early)
+        assert not there(early)
+    assert there(out) and not there(inner)
+    none = written(spark.range(0), "none", {"n": F.count(F.lit(1)), "s": F.sum("id")})
+    assert none.observed == {"n": 0, "s": None} and none.count() == 0
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"master": "spark://x", "getConf": staticmethod(lambda: type("G", (), {"get": staticmethod(lambda *_: None)}))})
+
+    with pytest.raises(RuntimeError, match="share"):
+        shared_dir(Cluster())

@@ -460,3 +460,30 @@ def test_core_stands_without_the_text_operators():
     assert not [p for p in (root / "weftline").rglob("*.py") if "llm" not in p.parts and "weftline.llm" in p.read_text()]
     code = "import sys; sys.modules['weftline.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'p4_found' in q and 'p7_found' not in q"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_types_written_from_their_parts(spark):
+    types = [(1, None, 0, "vec", "{name}<{1}, {2}>"), (2, 1, 1, "ref", "{1}&&"), (3, 1, 2, "int", "{name}"), (4, 2, 1, "int", "{name}"), (5, None, 0, "odd", "{name}*"), (6, None, 0, "odd", "plain")]
+    df = spark.createDataFrame(types, "id long, parent long, place int, kind string, pattern string")
+    names = spark.createDataFrame([("vec", "V"), ("int", "i32")], "kind string, name string")
+    with pytest.raises(Exception, match="no name for odd"):
+        tree.rewritten(df, names).collect()
+    assert dict(map(tuple, tree.rewritten(df, names, strict=False).collect())) == {1: "V<i32&&, i32>", 2: "i32&&", 3: "i32", 4: "i32", 5: "odd*", 6: "plain"}
+    assert tree.rewritten(df.limit(0), names).count() == 0
+
+
+def test_edits_spliced(spark):
+    kind = "t string, e array<struct<start:int,end:int,text:string>>"
+    rows = [("abcdef", [(4, 6, "Z"), (0, 0, "<"), (1, 3, "")]), ("abc", []), ("abc", None), (None, []), ("äöü", [(1, 2, "o"), (3, 3, "!")])]
+    got = [r[0] for r in spark.createDataFrame(rows, kind).select(text.apply_edits(F.col("t"), F.col("e"))).collect()]
+    assert got == ["<adZ", "abc", None, None, "äoü!"]
+    for bad in ([(0, 2, ""), (1, 3, "")], [(2, 1, "")], [(0, 9, "")]):
+        with pytest.raises(Exception, match="overlapping"):
+            spark.createDataFrame([("abc", bad)], kind).select(text.apply_edits(F.col("t"), F.col("e"))).collect()
+
+
+def test_a_header_shifts_lines(spark):
+    texts = spark.createDataFrame([(1, "a\n#x\nb"), (2, "a"), (3, None)], "file_id long, text string")
+    lines = spark.createDataFrame([(1, 1, 7), (1, 2, 8), (1, 3, 9), (2, 1, 5)], "file_id long, line int, original_line int")
+    got = sorted(map(tuple, provenance.header_inserted(texts, lines, "^#").collect()))
+    assert got == [(1, 1, 7), (1, 2, 8), (1, 3, 8), (1, 4, 9), (2, 1, 5)]
