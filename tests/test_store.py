@@ -487,3 +487,16 @@ def test_a_header_shifts_lines(spark):
     lines = spark.createDataFrame([(1, 1, 7), (1, 2, 8), (1, 3, 9), (2, 1, 5)], "file_id long, line int, original_line int")
     got = sorted(map(tuple, provenance.header_inserted(texts, lines, "^#").collect()))
     assert got == [(1, 1, 7), (1, 2, 8), (1, 3, 8), (1, 4, 9), (2, 1, 5)]
+
+
+def test_edits_of_a_long_text(spark):
+    rnd = random.Random(8)
+    plain = "".join(rnd.choice(["a", "\n", "ö", "\U0001f600", "ﬁ"]) for _ in range(5000))
+    cuts = sorted(rnd.sample(range(5001), 400))
+    edits = [(a, b, rnd.choice(["", "x", "\U0001f600y"])) for a, b in zip(cuts[::2], cuts[1::2], strict=True)] + [(1024, 1024, "!")] * (1024 not in cuts and not any(a < 1024 < b for a, b in zip(cuts[::2], cuts[1::2], strict=True)))
+    want, at = "", 0
+    for a, b, t in sorted(edits):
+        want, at = want + plain[at:a] + t, b
+    rnd.shuffle(edits)
+    df = spark.createDataFrame([(plain, edits)], "t string, e array<struct<start:int,end:int,text:string>>")
+    assert df.select(text.apply_edits(F.col("t"), F.col("e"))).first()[0] == want + plain[at:]

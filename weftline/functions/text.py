@@ -154,20 +154,41 @@ def interval_places(edits: DataFrame) -> DataFrame:
 
 def interval_order(edits: Column) -> Column:
     """An array of edits (start, end, text) in order."""
-    return F.array_sort(edits)
+    return F.sort_array(edits)
+
+
+#: Characters of the blocks that a text is cut into, so that a stretch is found without going through all before it.
+_BLOCK = 1024
+
+
+def _stretch(blocks: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end, counted from 0, of a text in blocks."""
+    first = F.floor(start / _BLOCK).cast("int")
+    some = F.array_join(F.slice(blocks, first + 1, F.floor(end / _BLOCK).cast("int") - first + 1), "")
+    return F.substr(some, start - first * _BLOCK + 1, end - start)
 
 
 def apply_edits(text: Column, edits: Column) -> Column:
     """The text with an array of edits (start, end, text) spliced in; offsets count from 0. Fails if edits overlap or leave the text.
 
-    Each edit gives the stretch before it and its own text, and these are joined once, so the work doesn't grow with edits times text.
+    Each edit gives the stretch before it and its own text, and these are joined once. A stretch is cut from the few blocks it lies in, so the work is in proportion
+    to text and edits and doesn't grow with their product.
     """
     e = interval_order(edits)
-    ends = F.concat(F.array(F.lit(0)), F.transform(e, lambda x: x["end"]))
-    bad = F.exists(F.arrays_zip(e.alias("e"), F.slice(ends, 1, F.size(e)).alias("at")), lambda x: (x["e"]["start"] < x["at"]) | (x["e"]["end"] < x["e"]["start"]) | (x["e"]["end"] > F.length(text)))
-    pieces = F.transform(e, lambda x, i: F.concat(F.substr(text, F.get(ends, i) + 1, x["start"] - F.get(ends, i)), x["text"]))
-    joined = F.concat(F.array_join(pieces, ""), F.substr(text, F.element_at(ends, -1) + 1))
-    return F.when(text.isNull() | edits.isNull(), F.lit(None).cast("string")).when(F.size(e) == 0, text).when(bad, F.raise_error(F.lit("overlapping or invalid edits")).cast("string")).otherwise(joined)
+    size = F.length(text)
+    # One more edit that does nothing at the end brings the rest.
+    more = F.array_append(e, F.struct(size.alias("start"), size.alias("end"), F.lit("").alias("text")))
+    starts = F.concat(F.array(F.lit(0)), F.transform(e, lambda x: x["end"]))
+    # Values that lambdas look into are bound once by the outer lambda; written into them they would be made anew for every edit.
+    whole = F.struct(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % _BLOCK), F.lit(0)).alias("blocks"), size.alias("size"), F.arrays_zip(more.alias("e"), starts.alias("at")).alias("pairs"))
+
+    def spliced(o: Column) -> Column:
+        bad = F.exists(o["pairs"], lambda x: (x["e"]["start"] < x["at"]) | (x["e"]["end"] < x["e"]["start"]) | (x["e"]["end"] > o["size"]))
+        out = F.array_join(F.transform(o["pairs"], lambda x: F.concat(_stretch(o["blocks"], x["at"], x["e"]["start"]), x["e"]["text"])), "")
+        return F.when(bad, F.raise_error(F.lit("overlapping or invalid edits")).cast("string")).otherwise(out)
+
+    done = F.get(F.transform(F.array(whole), spliced), 0)
+    return F.when(text.isNull() | edits.isNull(), F.lit(None).cast("string")).when(F.size(edits) == 0, text).otherwise(done)
 
 
 def edit_size_delta(edits: DataFrame) -> DataFrame:
