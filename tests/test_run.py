@@ -150,3 +150,46 @@ def test_every_rule_can_be_read():
     for bad in ("a &", "(a", "a b", "child a)", "?"):
         with pytest.raises(ValueError):
             parsed(bad)
+
+
+def kept(monkeypatch):
+    """What the pattern operators write from now on: (name, types of columns, rows)."""
+    from weftline.operators import patterns
+    from weftline.shared import written
+
+    seen = []
+
+    def write(df, name, observed=None):
+        out = written(df, name, observed)
+        seen.append((name, [t for _, t in out.dtypes], out.count()))
+        return out
+
+    monkeypatch.setattr(patterns, "written", write)
+    return seen
+
+
+def test_patterns_keep_bits_of_nodes_that_count(spark, monkeypatch):
+    nodes = {"r": {"id": "r", "parent": None, "ref": None, "labels": ["Decl", "implicit"]}, "s": {"id": "s", "parent": "r", "ref": None, "labels": [f"x{i}" for i in range(70)]}}
+    for i in range(200):
+        nodes[f"n{i}"] = {"id": f"n{i}", "parent": "rs"[i % 2], "ref": f"n{i + 1}" if i % 3 else None, "labels": [f"x{i}", "Return"] if i < 70 else ["Other"]}
+    df = spark.createDataFrame([tuple(x.values()) for x in nodes.values()], "id string, parent string, ref string, labels array<string>")
+    patterns = {f"p{i}": f"child(x{i} & Return)" for i in range(70)} | {"q": "x3 & above(Decl & implicit) & !ref(x4)", "w": "x8 & ref(x9) & parent(x65 & below(x5))", "never": "x6 & !x6", "always": "x7 | !x7"}
+    some = {k: v for k, v in patterns.items() if k != "always"}
+    seen = kept(monkeypatch)
+    for asked in (some, patterns):
+        got = {(r.id, r.pattern) for r in matches(df, asked).collect()}
+        assert got == {(i, k) for k, t in asked.items() for i, n in nodes.items() if plain(parsed(t), n, nodes)}
+        if asked is some:
+            assert seen and max(n for _, _, n in seen) < 100 and not any(t.startswith("array") for _, types, _ in seen for t in types)
+
+
+def test_numbers_give_the_bits_of_their_labels(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.operators.patterns import label_bits
+    from weftline.plans.rule_queries import FLAGS, KINDS, _labels, number_bits
+
+    names = sorted({*FLAGS, *(x for k in KINDS for x in k), "@none"})
+    df = spark.createDataFrame([(i,) for i in [None, -64, -33, *range(2100), 10**12 + 5]], "number long").withColumn("labels", _labels(F.col("number")))
+    rows = df.select(F.array(*label_bits(names)).alias("a"), F.array(*number_bits(names)).alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and len({tuple(r.a) for r in rows}) > 1000

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.patterns import matches
+from weftline.operators.patterns import Bits, label_bits, matches
 from weftline.operators.tree import Pattern
 from weftline.streaming.fixpoint import Registry, Transform
 
@@ -125,10 +125,10 @@ RULES: dict[str, dict[str, str]] = {
 }
 
 
-def rule_matches(nodes: DataFrame, transforms: list[str] | None = None) -> DataFrame:
-    """(id, transform, rule) of nodes (id, parent, ref, labels) that a rule of the transforms, by default of all, matches. All rules are evaluated together."""
+def rule_matches(nodes: DataFrame, transforms: list[str] | None = None, bits: Bits = label_bits) -> DataFrame:
+    """(id, transform, rule) of nodes (id, parent, ref, labels) that a rule of the transforms, by default of all, matches. All rules are evaluated together; ``bits`` as for ``matches``."""
     names = list(RULES) if transforms is None else transforms
-    found = matches(nodes, {f"{t}/{r}": p for t in names for r, p in RULES[t].items()})
+    found = matches(nodes, {f"{t}/{r}": p for t in names for r, p in RULES[t].items()}, bits=bits)
     at = F.split("pattern", "/")
     return found.select("id", at[0].alias("transform"), at[1].alias("rule"))
 
