@@ -193,3 +193,16 @@ def test_numbers_give_the_bits_of_their_labels(spark):
     df = spark.createDataFrame([(i,) for i in [None, -64, -33, *range(2100), 10**12 + 5]], "number long").withColumn("labels", _labels(F.col("number")))
     rows = df.select(F.array(*label_bits(names)).alias("a"), F.array(*number_bits(names)).alias("b")).collect()
     assert all(r.a == r.b for r in rows) and len({tuple(r.a) for r in rows}) > 1000
+
+
+def test_finder_asks_relations_only_where_labels_leave_it_open(spark, monkeypatch):
+    from weftline.operators.rules import feature_queue
+
+    far = [("a", None, None, "f1", ["Lambda"]), ("b", "a", None, "f2", ["Return"]), ("c", "b", None, None, ["Construct", "rvalue_subtype"])]
+    df = spark.createDataFrame([*far, ("d", None, "e", "f3", ["DeclRef"]), ("e", None, None, "f4", ["Declarator", "Var", "rvalue_subtype"])], "id string, parent string, ref string, file string, labels array<string>")
+    more = {(t, f) for t, f in [("replace-lambda", "f1"), ("replace-rvalue", None), ("replace-rvalue", "f3"), ("replace-rvalue", "f4")]}
+    assert {tuple(r) for r in feature_queue(df, ["replace-lambda", "replace-rvalue"]).collect()} == more
+    seen = kept(monkeypatch)
+    known = spark.createDataFrame([(f"n{i}", f"n{i - 1}" if i else None, None, f"f{i % 2}", ["Lambda"]) for i in range(100)], df.schema)
+    got = [tuple(r) for r in feature_queue(known, ["replace-lambda"]).collect()]
+    assert sorted(got) == [("replace-lambda", "f0"), ("replace-lambda", "f1")] and [(name, n) for name, _, n in seen] == [("sure", 2)]

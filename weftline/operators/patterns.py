@@ -298,6 +298,35 @@ def matches(nodes: DataFrame, patterns: dict[str, str | Node], carried: tuple[st
     return at.where(_any([test(t) for t in trees.values()])).select("id", *carried, F.explode(found).alias("pattern"))
 
 
+def matched_groups(nodes: DataFrame, patterns: dict[str, Node], group: str, bits: Bits = label_bits) -> DataFrame:
+    """(group, pattern): which patterns some node of each group matches, a group being the nodes with the same value in a column.
+
+    Most are told by labels alone, in one pass. Relations are looked at only for patterns and groups that this leaves open.
+    """
+    names = sorted(patterns)
+    labels = sorted(set().union(*map(labels_of, patterns.values())))
+    place = {("label", x): at for x, at in _places(labels, "_b").items()}
+    masks = [f"_sure_{m}" for m in range(-(-len(names) // _BITS))]
+    at = nodes.select(group, *[c.alias(f"_b_{m}") for m, c in enumerate(bits(labels))])
+    told = at.select(group, *_packed([_column(_solved(patterns[n], place, False)) for n in names], "_sure"))
+    has = [F.shiftright(F.col(f"_sure_{i // _BITS}"), i % _BITS).bitwiseAND(1) == 1 for i in range(len(names))]
+    sure = written(told.groupBy(group).agg(*_ors(masks)), "sure", {f"n{i}": F.count_if(~h) for i, h in enumerate(has)})
+    found = sure.select(group, F.explode(F.array_compact(F.array(*[F.when(h, F.lit(n)) for n, h in zip(names, has, strict=True)]))).alias("pattern"))
+    left = [n for i, n in enumerate(names) if sure.observed[f"n{i}"]]
+    if not left:
+        return found
+    asked = {f"@{n}": ~has[names.index(n)] for n in left}
+
+    def with_asked(labels: list[str]) -> list[Column]:
+        extra = _packed([F.coalesce(asked[x], F.lit(False)) if x in asked else F.lit(False) for x in labels], "_b")
+        ours = [sum(1 << b for b, x in enumerate(labels[m : m + _BITS]) if x in asked) for m in range(0, len(labels), _BITS)]
+        return [c.bitwiseAND(F.lit(~o).cast("long")).bitwiseOR(e) for c, o, e in zip(bits(labels), ours, extra, strict=True)]
+
+    beside = sure.select(F.col(group).alias("_group"), *masks)
+    more = matches(nodes.join(beside, F.col(group).eqNullSafe(F.col("_group")), "left"), {n: ("and", ("label", f"@{n}"), patterns[n]) for n in left}, (group,), with_asked)
+    return found.unionByName(more.select(group, "pattern").distinct())
+
+
 def pattern_sql(text: str, table: str = "nodes", closure: str = "closure") -> str:
     """The same test in SQL, on a row ``n`` of ``table`` with list ``labels``; closure: (anc, id) of every node and its ancestors."""
 

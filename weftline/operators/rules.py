@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.patterns import Bits, label_bits, matches
+from weftline.operators.patterns import Bits, label_bits, matched_groups, matches, parsed
 from weftline.operators.tree import Pattern
 from weftline.streaming.fixpoint import Registry, Transform
 
@@ -133,9 +133,10 @@ def rule_matches(nodes: DataFrame, transforms: list[str] | None = None, bits: Bi
     return found.select("id", at[0].alias("transform"), at[1].alias("rule"))
 
 
-def feature_queue(nodes: DataFrame, transforms: list[str] | None = None) -> DataFrame:
+def feature_queue(nodes: DataFrame, transforms: list[str] | None = None, bits: Bits = label_bits) -> DataFrame:
     """(transform, path): which transforms each file needs, of nodes with a column ``file``."""
-    return rule_matches(nodes, transforms).join(nodes.select("id", F.col("file").alias("path")), "id").select("transform", "path").distinct()
+    names = list(RULES) if transforms is None else transforms
+    return matched_groups(nodes, {t: ("or", *map(parsed, RULES[t].values())) for t in names}, "file", bits).select(F.col("pattern").alias("transform"), F.col("file").alias("path"))
 
 
 @dataclass
